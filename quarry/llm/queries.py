@@ -1,12 +1,20 @@
 """The queries of this subpackage, by the names under which __spark_entry__ registers them."""
 
+from .bpe import op2_bpe
 from .fingerprints import op8_document_fingerprints
+from .mixing import op6_mixing
+from .ngram_join import op3_ngram_jaccard_join
 from .quality_rules import op4_quality_rules
+from .secrets import op10_secret_scans
 from .sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_bpe": op2_bpe,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op6_mixing": op6_mixing,
     "op8_document_fingerprints": op8_document_fingerprints,
+    "op10_secret_scans": op10_secret_scans,
 }
 ORACLES: dict[str, str] = {}
