@@ -1,7 +1,7 @@
 """Secret scans: rules for known forms, and character Markov models for random strings.
 
 Rules find assignments, access keys and long hexadecimal runs. Beside them, every run of 16 or more characters of
-``[A-Za-z0-9_+/=-]`` that has letters and digits, or goes from small to capital three times, is scored by two second-order character
+``[A-Za-z0-9_+/=-]`` that has a digit and three letters, or goes from small to capital three times, is scored by two second-order character
 models, one of random strings and one of ordinary identifiers: where the mean log-likelihood ratio a character reaches the
 threshold, the run is a span of kind ``markov``, unless it overlaps a rule's span. Both models are trained here on
 labelled samples made by rule from a seed; the threshold is the least that flags no ordinary sample held out, plus MARGIN.
@@ -111,7 +111,7 @@ class Detector:
         return float(self.ratio[before[:-1], before[1:], k].mean())
 
     def random(self, run: bytes) -> bool:
-        digits = re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run)
+        digits = re.search(rb"[0-9]", run) and len(re.findall(rb"[A-Za-z]", run)) >= 3
         return bool(digits or len(re.findall(rb"[a-z][A-Z]", run)) >= 3) and self.score(run) >= self.threshold
 
 
