@@ -2,19 +2,25 @@
 
 from .bpe import op2_bpe
 from .fingerprints import op8_document_fingerprints
+from .license_scan import op5_license_scans
 from .mixing import op6_mixing
 from .ngram_join import op3_ngram_jaccard_join
+from .quality_classifier import op7_quality_classifier
 from .quality_rules import op4_quality_rules
 from .secrets import op10_secret_scans
 from .sharding import op1_sharding
+from .warc import op9_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_license_scans": op5_license_scans,
     "op6_mixing": op6_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_document_fingerprints": op8_document_fingerprints,
+    "op9_warc": op9_warc,
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLES: dict[str, str] = {}
