@@ -36,6 +36,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="quarry-checkpoint-")
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns out of the way as _d0, _d1, …, and what selects them under their own names again."""
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -21,7 +21,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICES, documents, durable, n_words, running, slice_of, source_key, words
+from .common import SLICES, aside, documents, durable, n_words, running, slice_of, source_key, words
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
 #: Blocks in a mix: as many as this or, once a block has LONGEST words, as many as it takes.
@@ -92,15 +92,19 @@ def mixed(docs: DataFrame) -> DataFrame:
     Rows that agree in doc_id, source and text count as one whose turns add up. A cut text has single blanks.
     """
     identity = ["_id", "_text"]
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text": F.xxhash64(F.coalesce("text", F.lit(""))), "_source": source_key(F.col("source"))})
-    taken = Mix(keyed.select("_id", "_text", "source", "text"), identity).taken().groupBy("_source", *identity).agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"))
-    turns = keyed.dropDuplicates(["_source", *identity]).join(taken.filter("_taken > 0"), ["_source", *identity])
+    moved, back = aside(docs)
+    of = lambda c: F.col(f"_d{docs.columns.index(c)}")
+    keyed = moved.withColumns({"_id": F.coalesce(of("doc_id").cast("string"), F.lit("")), "_text": F.xxhash64(F.coalesce(of("text"), F.lit(""))), "_source": source_key(of("source"))})
+    taken = Mix(keyed.select(*identity, of("source").alias("source"), of("text").alias("text")), identity).taken()
+    taken = taken.groupBy("_source", *identity).agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken")).filter("_taken > 0")
+    turns = keyed.dropDuplicates(["_source", *identity]).join(taken, ["_source", *identity])
     turns = turns.withColumn("_words", F.explode(F.expr("concat(array_repeat(_size, int(_taken div _size)), if(_taken % _size > 0, array(_taken % _size), array()))")))
-    part = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_words").cast("int")), " ")
-    turns = turns.withColumn("text", F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text")))
+    part = F.array_join(F.slice(words(of("text")), F.lit(1), F.col("_words").cast("int")), " ")
+    text = f"_d{docs.columns.index('text')}"
+    turns = turns.withColumn(text, F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        turns = turns.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return turns.select(*docs.columns)
+        turns = turns.withColumn(f"_d{docs.columns.index('n_chars')}", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return turns.select(*back)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, documents, durable, let, words
+from .common import BLANKS, aside, documents, durable, let, words
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
@@ -119,11 +119,14 @@ def posterior_column(share: float, right: list[tuple[float, float]]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def judge(docs: DataFrame, carry: list[str], narrow: bool = True) -> DataFrame:
-    """Statistics, votes, base verdict, posterior ``quality`` and ``kept`` of every row, with the columns in ``carry``."""
+def judge(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Statistics, votes, base verdict, posterior ``quality`` and ``kept`` of every row, with the columns in ``carry``.
+
+    The statistics are written with ``carry`` once, since both the fit and the verdict read them.
+    """
     counted = statistics(docs)
     voted = counted.select(*[F.col(c) for c in dict.fromkeys([*carry, *counted.columns[len(docs.columns) :]])]).select("*", *votes())
-    voted = durable(voted) if narrow else voted
+    voted = durable(voted)
     names = [f"vote_{k}" for k in RULES]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.filter(~failed).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
@@ -133,10 +136,10 @@ def judge(docs: DataFrame, carry: list[str], narrow: bool = True) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the rules keep, with their own columns."""
-    aside = {c: f"_d{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    renamed = docs.withColumnsRenamed(aside)
-    judged = judge(renamed, renamed.columns)
-    return judged.filter("kept").select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+    moved, back = aside(docs)
+    moved = moved.withColumn("text", F.col(f"_d{docs.columns.index('text')}"))
+    names = [c for c in moved.columns if c != "text"]
+    return judge(moved, names).filter("kept").select(*back)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
