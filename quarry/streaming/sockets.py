@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import socket
 import threading
-import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -24,14 +23,24 @@ def tcp_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
     return spark.readStream.format("socket").option("host", host).option("port", port).load()
 
 
-class Datagrams(SimpleDataSourceStreamReader):
-    """Listens on a port of the driver; each batch has what has come since the last."""
+class Received(InputPartition):
+    def __init__(self, rows: list[tuple[str, bytes]]) -> None:
+        self.rows = rows
+
+
+class Datagrams(DataSourceStreamReader):
+    """Listens on a port beside the driver; a batch has what has come since the last, and its task gets the data themselves."""
 
     def __init__(self, host: str, port: int, echo: bool) -> None:
-        self.echo, self.held, self.first, self.lock = echo, [], 0, threading.Lock()
-        self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-        self.socket.bind((host, port))
-        threading.Thread(target=self.listen, daemon=True).start()
+        self.at, self.echo, self.held, self.first, self.lock, self.socket = (host, port), echo, [], 0, None, None
+
+    def start(self) -> None:
+        """Opens the port with the first batch: Spark makes readers that it only asks for their schema."""
+        if self.socket is None:
+            self.lock = threading.Lock()
+            self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+            self.socket.bind(self.at)
+            threading.Thread(target=self.listen, daemon=True).start()
 
     def listen(self) -> None:
         while True:
@@ -42,24 +51,28 @@ class Datagrams(SimpleDataSourceStreamReader):
             if self.echo:
                 self.socket.sendto(data, sender)
             with self.lock:
-                self.held.append((f"{sender[0]}:{sender[1]}", bytes(data), time.time()))
+                self.held.append((f"{sender[0]}:{sender[1]}", bytes(data)))
                 if len(self.held) > KEPT:
                     raise RuntimeError(f"more than {KEPT} datagrams wait for the query")
 
     def initialOffset(self) -> dict:
         return {"next": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+    def latestOffset(self) -> dict:
+        self.start()
         with self.lock:
-            rows = self.held[start["next"] - self.first :]
-            end = self.first + len(self.held)
-        return iter([(s, d) for s, d, _ in rows]), {"next": end}
+            return {"next": self.first + len(self.held)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def partitions(self, start: dict, end: dict) -> list[Received]:
+        self.start()
         with self.lock:
-            return iter([(s, d) for s, d, _ in self.held[start["next"] - self.first : end["next"] - self.first]])
+            return [Received(self.held[start["next"] - self.first : end["next"] - self.first])]
+
+    def read(self, partition: Received) -> Iterator[tuple]:
+        return iter(partition.rows)
 
     def commit(self, end: dict) -> None:
+        self.start()
         with self.lock:
             del self.held[: end["next"] - self.first]
             self.first = end["next"]
@@ -75,7 +88,7 @@ class UdpSource(DataSource):
     def schema(self) -> str:
         return "sender string, data binary"
 
-    def simpleStreamReader(self, schema: StructType) -> Datagrams:
+    def streamReader(self, schema: StructType) -> Datagrams:
         return Datagrams(self.options.get("host", "127.0.0.1"), int(self.options["port"]), self.options.get("echo", "true").lower() == "true")
 
 
