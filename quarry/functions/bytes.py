@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .codecs import prefix
 
 
 def buffers(column: pa.Array) -> Iterator[np.ndarray]:
@@ -220,3 +224,42 @@ def compression_ratio(original: Column, compressed: Column) -> Column:
 def printable(text: Column) -> Column:
     """Every character outside printable ASCII as a dot (FLT-09)."""
     return F.regexp_replace(text, r"[^\x20-\x7E]", ".")
+
+
+@F.pandas_udf(StringType())
+def decode_utf8(data: pd.Series) -> pd.Series:
+    """Text of UTF-8 bytes by the rule of ``decoded``."""
+    return data.map(lambda x: None if x is None else decoded(bytes(x)).encode("utf-8", "replace").decode())
+
+
+def is_valid_utf8(data: Column) -> Column:
+    """Whether bytes are UTF-8 without a replacement character, which counts as damage (STR-14)."""
+    return F.is_valid_utf8(data.cast("string")) & ~F.contains(F.hex(data), F.lit("EFBFBD"))
+
+
+def bit_depth_report(df: DataFrame, key: str, content: str = "text") -> DataFrame:
+    """size, entropy and, for codes from counts of 64 to 1 bits, e<bits> and with their tables g<bits>, a row for each file (AGG-26, SNK-20)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [sizes_by_depth(d) for d in buffers(batch.column(1))]
+            cells = {c: pa.array([r[c] for r in rows], pa.float64() if c == "entropy" else pa.int64()) for c in REPORT}
+            yield pa.RecordBatch.from_pydict({key: batch.column(0), **cells})
+
+    return df.select(key, content).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} {'double' if c == 'entropy' else 'long'}" for c in REPORT))
+
+
+DEPTHS = (64, 32, 16, 8, 4, 2, 1)
+REPORT = ("size", "entropy", *(f"e{b}" for b in DEPTHS), *(f"g{b}" for b in DEPTHS), "best")
+
+
+def sizes_by_depth(data: np.ndarray) -> dict[str, float | int]:
+    counts = np.bincount(data, minlength=256).tolist()
+    most, m = max(counts), measures(data)
+    out: dict[str, float | int] = {"size": len(data), "entropy": m["entropy"]}
+    for b in DEPTHS:
+        weights = [max(1, -(-n * (2**b - 1) // most)) if n else 0 for n in counts] if most else counts
+        out[f"e{b}"] = prefix.size(counts, prefix.huffman_codes(weights)) if most else 0
+        out[f"g{b}"] = out[f"e{b}"] + -(-256 * b // 8)
+    return out | {"best": min(DEPTHS, key=lambda b: (out[f"g{b}"], b))}

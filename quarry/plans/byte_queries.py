@@ -164,3 +164,15 @@ def printable_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("grep_contains", "SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, 'tion of')")
 def grep_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").contains("tion of"))
+
+
+@query("utf8_validity", "SELECT doc_id, NOT contains(text, chr(65533)) AS valid, strlen(text) AS bytes FROM documents")
+def utf8_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.encode("text", "UTF-8")
+    return docs(spark, sf_dir).select("doc_id", B.is_valid_utf8(data).alias("valid"), F.octet_length(data).cast("long").alias("bytes"))
+
+
+@query("hex_dump", "SELECT doc_id, md5(hex(encode(text))) AS dump, lower(substr(hex(encode(text)), 9, 8)) AS bytes_4_to_7 FROM documents")
+def hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.encode("text", "UTF-8")
+    return docs(spark, sf_dir).select("doc_id", F.md5(F.hex(data).cast("binary")).alias("dump"), F.lower(F.hex(F.substring(data, 5, 4))).alias("bytes_4_to_7"))

@@ -66,17 +66,13 @@ def shannon_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_table(spark, sf_dir, prefix.shannon_codes)
 
 
-DEPTHS = (64, 32, 16, 8, 4, 2, 1)
-
-
 @query("bit_depths")
 def bit_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of all documents under codes from counts cut to some bits, with the table that those take; the best marked (AGG-26)."""
-    rows = {r["byte"]: r["cnt"] for r in B.byte_histogram(table(spark, sf_dir, "documents")).collect()}
+    """Size of all documents together under codes from counts cut to some bits, with the table that those take; the best marked."""
+    rows = {r["byte"]: r["cnt"] for r in B.byte_histogram(table(spark, sf_dir, "documents")).collect()}  # 256 rows at most
     counts = [rows.get(b, 0) for b in range(256)]
     most, out = max(counts), []
-    for bits in DEPTHS:
-        # in whole numbers, rounded up: ceil(count * (2^bits - 1) / most), at least 1
+    for bits in B.DEPTHS:
         weights = [max(1, -(-n * (2**bits - 1) // most)) if n else 0 for n in counts]
         size = prefix.size(counts, prefix.huffman_codes(weights)) if most else 0
         out.append((bits, size, size + -(-256 * bits // 8)))
@@ -84,6 +80,11 @@ def bit_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(b, e, g, b == best) for b, e, g in out], "bits int, e long, g long, best boolean")
 
 
+@query("bit_depth_report")
+def bit_depth_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.bit_depth_report(table(spark, sf_dir, "documents"), "doc_id")
+
+
 @query("rle_against_markov")
 def rle_against_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes by run lengths with a table of counts, against Markov's bound with its pairs (COD-24)."""

@@ -9,7 +9,7 @@ from ..functions import strings as S
 
 
 def whole_files(spark: SparkSession, path: str, recursive: bool = True, excluded: bool = False) -> DataFrame:
-    """path, length and content of every file of a folder, without what archives leave out unless ``excluded``."""
+    """path, length and content of every file of a folder, without what archives leave out unless ``excluded``. Spark skips files of no bytes."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return df if excluded else df.filter(~S.is_excluded(S.file_name(F.col("path"))))
 

@@ -415,3 +415,15 @@ def test_tcp(spark):
     finally:
         query.stop()
         server.close()
+
+
+def test_utf8_columns(spark):
+    df = spark.createDataFrame([(0, "aé".encode()), (1, b"a\xff"), (2, "�".encode()), (3, b""), (4, None)], "i int, d binary")
+    got = {r.i: (r.v, r.t) for r in df.select("i", B.is_valid_utf8(F.col("d")).alias("v"), B.decode_utf8("d").alias("t")).collect()}
+    assert got == {0: (True, "aé"), 1: (False, "a�"), 2: (False, "�"), 3: (True, ""), 4: (None, None)}
+
+
+def test_bit_depths(spark):
+    df = spark.createDataFrame([(1, "abracadabra"), (2, ""), (3, None)], "id int, text string")
+    got = {r.id: r for r in B.bit_depth_report(df, "id").collect()}
+    assert got[1].e64 == 3 and got[1].g1 == got[1].e1 + 32 and got[1].best == 1 and got[2].size == got[3].e8 == 0
