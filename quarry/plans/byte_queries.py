@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytes as B
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 #: Each document's bytes as a list of pairs of hexadecimal digits; their number from a pair.
@@ -18,7 +18,7 @@ PER_DOC = f"{HEXES}, b AS (SELECT doc_id, unnest(l) AS x FROM h), c AS (SELECT d
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 def per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import bytes as B
 from ..functions.codecs import decode_column, encode_column, prefix
 from ..sources import archive
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content")))
 
 
 def shared(spark: SparkSession) -> str:

@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``; where it comes in fewer parts than there are cores, as small files do, dealt over the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Registers temporary views, all tables' unless some are named."""
     for name in names or TABLES:
