@@ -101,13 +101,13 @@ def group_avg_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "group_having_count",
-    "SELECT c_custkey AS customer, round(avg(o_totalprice), 4) AS average, count(o_totalprice) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING avg(o_totalprice) >= 150000",
+    "SELECT c_custkey AS customer, round(avg(o_totalprice), 8) AS average, count(o_totalprice) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING avg(o_totalprice) >= 150000",
 )
 def group_having_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the customer's key is unique, so that orders can be reduced before they meet it
     per = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.avg("o_totalprice").alias("mean"), F.count("o_totalprice").alias("orders")).filter("mean >= 150000")
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"))
-    return per.join(keys, "customer").select("customer", F.round("mean", 4).alias("average"), "orders")
+    return per.join(keys, "customer").select("customer", F.round("mean", 8).alias("average"), "orders")
 
 
 @query(
