@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="quarry-checkpoint-")
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that what is made of texts at once stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     """``docs`` with its columns out of the way as _d0, _d1, …, and what selects them under their own names again."""
     names = [f"_d{i}" for i in range(len(docs.columns))]

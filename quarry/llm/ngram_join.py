@@ -10,11 +10,14 @@ of all shingles, so a pair must do so under several orders before its sets are c
    decides an order, never what is compared: when one fills up at a larger size, prefixes get longer lists, not wrong ones.
 3. A class whose prefix has only shingles of its own can't link and drops out. The others are indexed by the shingles of
    their first prefix.
-4. First round: under each shingle, every class is paired with one of them only. Links found give components.
+4. First round: under each shingle, every class is paired with one of them only, the one whose shingles are the most
+   common, as an original's are among its copies. Links found give components.
 5. Second round: pairs under a shingle that are still in different components. Large groups of near copies are one
    component by then, so that no group is expanded into its pairs.
 
-A pair is dropped unless sizes fit and the prefixes under the two other orders meet too; then the sets are intersected.
+In both rounds a pair needs enough shingles left from the shared one on in both sets (the positional bound): if that
+shingle is the first that they share, no earlier one can count. What is left must share prefix shingles under two other
+orders as well; only then are the sets intersected.
 
 Null texts and texts without words have empty sets and link with nothing; repeated rows are copies; with null doc_ids, a
 component's id is the least that isn't null, if any. An empty table gives an empty result. Extra columns are ignored.
@@ -29,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, durable
+from .common import aside, documents, durable, parts
 from .shingles import mixed, set_id, sets_of
 
 #: Sets in which a shingle of each class occurs at least, and bits of the class's filter.
-CLASSES = ((2, 2**28), (16, 2**25), (256, 2**23))
+CLASSES = ((2, 2**27), (16, 2**24), (256, 2**22))
 PROBES, OTHER_ORDERS = 3, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Shingles that one task counts, about.
 A_BUCKET = 500_000
@@ -47,7 +50,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles and set_id of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [(len(s), set_id(s)) for s in sets_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for n, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_id"])
 
@@ -83,12 +86,12 @@ def count_shingles(docs: DataFrame, log_buckets: int) -> list[np.ndarray]:
             held.clear()
             return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "packed": pa.array([rest[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())})
 
-        for batch in batches:
+        for batch in parts(batches):
             for s in sets_of(batch.column(0)):
                 if len(s) and (x := set_id(s)[:8]) not in seen:  # copies within a task count once
                     seen.add(x)
                     held.append(s)
-                    if (waiting := waiting + len(s)) > 4_000_000:
+                    if (waiting := waiting + len(s)) > 2_000_000:
                         yield out()
                         waiting = 0
         if held:
@@ -132,7 +135,7 @@ def indexed(docs: DataFrame, log_buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in parts(batches):
             rows: list[tuple] = []
             for s in sets_of(batch.column(0)):
                 kinds = classes_of(s, filters.value, log_buckets)
@@ -171,7 +174,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in ("a_tokens", "b_tokens"))
             ok = [linked(x, i, y, j) for x, i, y, j in zip(a, batch.column("a_bounds").to_pylist(), b, batch.column("b_bounds").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -195,26 +198,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def fits(a: str, b: str):
-    return (4 * F.col(a) >= 3 * F.col(b)) & (4 * F.col(b) >= 3 * F.col(a))
+    """Whether sets n_a and n_b large that first share the shingles at places at_a and at_b of the first order may link."""
+    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+    return 7 * F.least(n - F.col(f"at_{a}"), m - F.col(f"at_{b}")) >= 3 * (n + m)
+
+
+def exploded(sets: DataFrame) -> DataFrame:
+    """A row for each shingle of the prefixes, with its place in the set's order."""
+    rows = sets.select(*[c for c in sets.columns if c not in ("prefix", "bounds")], F.col("bounds")[0].alias("_own"), F.posexplode("prefix").alias("_k", "token"))
+    return rows.withColumn("at", (F.col("_own") + F.col("_k")).cast("long")).drop("_own", "_k")
 
 
 def links(docs: DataFrame, n_shingles: int) -> DataFrame:
     """Links (a, b) between classes, enough of them for every component."""
     log_buckets = min(16, max(6, (n_shingles // A_BUCKET).bit_length()))
     found = durable(indexed(docs, log_buckets).dropDuplicates(["set_id"]))
-    index = found.select("set_id", "n", F.explode("prefix").alias("token"))
-    centre = index.groupBy("token").agg(F.min(F.struct("set_id", "n")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    pairs = index.join(centre, "token").select("set_id", "n", F.col("c.set_id").alias("centre"), F.col("c.n").alias("m")).filter(fits("n", "m") & (F.col("set_id") != F.col("centre")))
-    first = durable(verified(pairs.select(F.col("centre").alias("a"), F.col("set_id").alias("b")).distinct(), found))
+    common = F.round(F.aggregate("bounds", F.lit(0).cast("long"), lambda a, x: a + F.col("n") - x) / F.col("n"), 9)  # mean class of its shingles
+    index = exploded(found.select("set_id", "n", "prefix", "bounds", common.alias("common")))
+    centre = index.groupBy("token").agg(F.max(F.struct("common", "set_id", "n", "at")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    pairs = index.join(centre, "token").select("set_id", F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c.set_id").alias("centre"), F.col("c.n").alias("n_b"), F.col("c.at").alias("at_b"))
+    pairs = pairs.filter(fits("a", "b") & (F.col("set_id") != F.col("centre"))).select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
+    first = durable(verified(pairs, found))
     part = components(first)
-    placed = durable(
-        found.select("set_id", "n", "prefix").join(part.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "n", F.coalesce("component", "set_id").alias("part"), F.explode("prefix").alias("token"))
-    )
+    placed = found.select("set_id", "n", "prefix", "bounds").join(part.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id")).drop("component")
+    placed = durable(exploded(placed))
     open_tokens = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
     rest = durable(placed.join(open_tokens, "token", "left_semi"))
-    left, right = (rest.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("set_id", "n", "part")]) for k in "lr")
-    crossing = left.join(right, "token").filter((F.col("l_part") < F.col("r_part")) & fits("l_n", "r_n"))
-    second = verified(crossing.select(F.least("l_set_id", "r_set_id").alias("a"), F.greatest("l_set_id", "r_set_id").alias("b")).distinct(), found)
+    left, right = (rest.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("set_id", "n", "at", "part")]) for k in "ab")
+    crossing = left.join(right, "token").filter((F.col("part_a") < F.col("part_b")) & fits("a", "b"))
+    second = verified(crossing.select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct(), found)
     return durable(first.union(second))
 
 
@@ -226,19 +238,20 @@ def joined(docs: DataFrame) -> DataFrame:
     named = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = named.join(part.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    class_of = named.join(least, "component").select("set_id", "component_id")
+    class_of = named.join(least, "component").select("set_id", "component", "component_id")
     return sets.join(class_of, "set_id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component of ``docs``: that of the least doc_id. Documents without words all stay."""
-    rows = joined(docs)
-    stay = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_hash").alias("_hash")).select(F.col("component_id").alias("_id"), "_hash")
-    keyed = docs.withColumns({"_key": F.col("doc_id"), "_text": F.xxhash64("text"), "_none": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0})
-    kept = keyed.join(stay, keyed["_key"].eqNullSafe(stay["_id"]) & (keyed["_text"] == stay["_hash"]), "left")
-    kept = kept.filter(F.col("_hash").isNotNull() | F.col("_none"))
-    turn = Window.partitionBy("_key", "_text").orderBy("_hash")
-    return kept.withColumn("_turn", F.row_number().over(turn)).filter((F.col("_turn") == 1) | F.col("_none")).select(*docs.columns)
+    """One document of each component of ``docs``: that of the least doc_id, null last. Documents without words all stay."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
+    stay = joined(docs).filter("n_shingles > 0").groupBy("component").agg(best.alias("x")).select(F.col("x.id").alias("_id"), F.col("x.hash").alias("_hash"))
+    moved, back = aside(docs)
+    of = lambda c: F.col(f"_d{docs.columns.index(c)}")
+    keyed = moved.withColumns({"_key": of("doc_id"), "_text": F.xxhash64(of("text")), "_empty": F.coalesce(~of("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))})
+    kept = keyed.join(stay, keyed["_key"].eqNullSafe(stay["_id"]) & (keyed["_text"] == stay["_hash"]), "left").filter(F.col("_hash").isNotNull() | F.col("_empty"))
+    turn = Window.partitionBy("_key", "_text").orderBy("_hash")  # rows that are equal in both are copies, of which one stays
+    return kept.withColumn("_turn", F.row_number().over(turn)).filter((F.col("_turn") == 1) | F.col("_empty")).select(*back)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

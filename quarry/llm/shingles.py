@@ -9,7 +9,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text that are taken at once; a longer text is taken alone.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 STEPS = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3], np.uint64)
