@@ -19,6 +19,7 @@ import heapq
 import json
 import mmap
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -31,11 +32,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, documents
+from .common import checkpoint_dir, documents, durable, parts
 
 LEXICON, WORD_BYTES = 65_536, 32
 #: Distinct words that a task keeps at once, and characters of text that it takes at once.
-MEMO, AT_ONCE = 300_000, 1 << 20
+MEMO, AT_ONCE = 150_000, 1 << 19
 NONE = np.int32(2**31 - 1)
 #: The pattern by which byte-level tokenizers of this kind split texts (fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -108,15 +109,15 @@ class Tokenizer:
             offer(i)
         return [x for x in ids if x >= 0]
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Exact merges of many words: in each round, every word makes its leftmost merge of least rank."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Exact merges of many words, as ids in bytes: in each round, every word makes its leftmost merge of least rank."""
+        out = [b""] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         while order and len(words[order[-1]]) > 2 * WORD_BYTES:
-            out[order[-1]] = np.array(self.merge_long(words[order[-1]]), np.int32)
+            out[order[-1]] = np.array(self.merge_long(words[order[-1]]), "<u4").tobytes()
             order.pop()
-        for k in range(0, len(order), 20_000):
-            some = order[k : k + 20_000]
+        for k in range(0, len(order), 8_000):
+            some = order[k : k + 8_000]
             width = max(1, len(words[some[-1]]))
             data = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in some), np.uint8).reshape(len(some), width)
             length = np.array([len(words[i]) for i in some])
@@ -125,20 +126,17 @@ class Tokenizer:
             ids[:, :-1] = np.where(cols[:-1] < length[:, None], self.first[data], -1)
             rank = np.full((len(some), width + 1), NONE, np.int32)
             rank[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
-            where = np.array(some)
-            while len(where):
+            done, where = ids.copy(), np.arange(len(some))
+            while True:
                 at = rank.argmin(1)
-                rows = np.arange(len(where))
-                best = rank[rows, at]
+                best = rank[np.arange(len(where)), at]
                 going = best != NONE
                 if not going.all():
-                    for r in np.flatnonzero(~going):
-                        row = ids[r]
-                        out[where[r]] = row[row >= 0].copy()
+                    done[where[~going]] = ids[~going]
                     ids, rank, where, at, best = ids[going], rank[going], where[going], at[going], best[going]
-                    rows = rows[: len(where)]
-                    if not len(where):
-                        break
+                if not len(where):
+                    break
+                rows = np.arange(len(where))
                 later = np.minimum(cols + (cols > at[:, None]), width)
                 ids, rank = np.take_along_axis(ids, later, 1), np.take_along_axis(rank, later, 1)
                 ids[:, -1], rank[:, -1] = -1, NONE
@@ -146,13 +144,18 @@ class Tokenizer:
                 rank[rows, at] = self.rank(ids[rows, at], ids[rows, np.minimum(at + 1, width)])
                 led = np.flatnonzero(at > 0)
                 rank[led, at[led] - 1] = self.rank(ids[led, at[led] - 1], ids[led, at[led]])
+            there = done >= 0
+            ends = (there.sum(1).cumsum() * 4).tolist()
+            flat = done[there].astype("<u4").tobytes()
+            for i, x, y in zip(some, [0, *ends], ends, strict=False):
+                out[i] = flat[x:y]
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids, as little-endian 32-bit integers, of stretches that the pattern may split further."""
         pieces = [self.split(w) for w in words]
         distinct = {p: None for ps in pieces for p in ps}
-        ids = {p: x.astype("<u4").tobytes() for p, x in zip(distinct, self.merge([p.encode() for p in distinct]), strict=True)}
+        ids = dict(zip(distinct, self.merge([p.encode() for p in distinct]), strict=True))
         return [b"".join([ids[p] for p in ps]) for ps in pieces]
 
     @property
@@ -264,27 +267,36 @@ class Encoder:
         self.tok, self.lexicon = tok, lexicon
         self.spaced: dict[str, bytes] = {}  # words by what follows their blank
         self.bare: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # of words that the lexicon lacks
 
-    def look_up(self, known: dict[str, bytes], new: Iterable[str], front: str) -> None:
-        new = list(new)
-        if len(known) > MEMO:
-            raise AssertionError("the memo is cleared between batches only")
-        number = self.lexicon.find([(front + w).encode() for w in new])
+    def found(self, words: list[str]) -> Iterator[bytes | None]:
+        """Ids of each word by the lexicon, None where it lacks the word."""
         ends, ids = self.lexicon.ends, self.lexicon.ids
-        unseen = []
-        for w, k in zip(new, number.tolist(), strict=True):
-            if k < 0:
-                unseen.append(w)
+        for k in self.lexicon.find([w.encode() for w in words]).tolist():
+            yield None if k < 0 else ids[ends[k] : ends[k + 1]].tobytes()
+
+    def look_up(self, known: dict[str, bytes], new: Iterable[str], front: str) -> None:
+        """Adds words to what is known: by the lexicon, else piece by piece, each by the lexicon or else by merging."""
+        new, split, pieces = list(new), self.tok.split, self.pieces
+        unseen: dict[str, list[str]] = {}
+        for w, x in zip(new, self.found([front + w for w in new]), strict=True):
+            if x is None:
+                unseen[w] = split(front + w)
             else:
-                known[w] = ids[ends[k] : ends[k + 1]].tobytes()
-        for w, x in zip(unseen, self.tok.encode_words([front + w for w in unseen]), strict=True):
-            known[w] = x
+                known[w] = x
+        parts = list({p for ps in unseen.values() if len(ps) > 1 for p in ps} - pieces.keys())
+        pieces |= {p: x for p, x in zip(parts, self.found(parts), strict=True) if x is not None}
+        rest = list({p for ps in unseen.values() for p in ps} - pieces.keys())
+        pieces |= zip(rest, self.tok.merge([p.encode() for p in rest]), strict=True)
+        for w, ps in unseen.items():
+            known[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes."""
         if len(self.spaced) + len(self.bare) > MEMO:
             self.spaced.clear()
             self.bare.clear()
+            self.pieces.clear()
         parts: list[list] = []  # of each text: ids of an added token, or (bare words, spaced words)
         spaced, bare = set(), set()
         for text in texts:
@@ -328,10 +340,9 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = {w: n for w, n in counts.items() if len(w) < WORD_BYTES and len(w.encode()) < WORD_BYTES}
         return pa.RecordBatch.from_pydict({"word": pa.array(short.keys(), pa.string()), "n": pa.array(short.values(), pa.int64())})
 
-    for batch in batches:
-        for texts in some_at_once(batch.column(0).to_pylist()):
-            for t in texts:
-                counts.update(t.split(" ")[1:])
+    for batch in parts(batches):
+        for t in batch.column(0).to_pylist():
+            counts.update((t or "").split(" ")[1:])
             if len(counts) > MEMO:
                 yield out()
                 counts.clear()
@@ -342,18 +353,28 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON) ->
     """Compiles the corpus's most frequent words and sends the file to the executors; its name there."""
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    counts = durable(counts.filter("n > 1").withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
+    # a level is a narrow range of counts, so that there are about a thousand; the highest that fit are taken whole
+    least, room = None, size
+    for level, n in sorted(counts.groupBy("level").agg(F.count(F.lit(1))).collect(), reverse=True):
+        if n > room:
+            break
+        least, room = level, room - n
+    frequent = [] if least is None else [r[0] for r in counts.filter(F.col("level") >= least).select("word").collect()]  # at most ``size``
     tok = tokenizer(tokenizer_path)
     data = compile_lexicon({(" " + w).encode(): x for w, x in zip(frequent, tok.encode_words([" " + w for w in frequent]), strict=True)})
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:20]}.bin"
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark), name)
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        stream = fs.create(path, True)
+    if not fs.exists(path):  # the name tells the content, which another session may have left
+        part = path.suffix(f".{uuid.uuid4().hex}")
+        stream = fs.create(part, True)
         stream.write(data)
         stream.close()
-        sc.addFile(fs.makeQualified(path).toString())
+        if not fs.rename(part, path):
+            fs.delete(part, False)
+    sc.addFile(fs.makeQualified(path).toString())
     return name
 
 
@@ -364,7 +385,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False, carry:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         coder, table = Encoder(tok, mapped(name)), tok.table
-        for batch in batches:
+        for batch in parts(batches):
             done = 0
             for texts in some_at_once(batch.column("text").to_pylist()):
                 coded = coder.encode(texts)
