@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, parts
 from .shingles import AT_ONCE, STEPS, mixed, word_hashes
 
 #: Notices by which public licences are granted (fixed values, quoted or in the usual wording).
@@ -241,7 +241,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, families, spans and least probability of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = list(scan_texts(batch.column("text")))
             yield pa.RecordBatch.from_pydict(
                 {

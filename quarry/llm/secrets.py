@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, parts
 
 KINDS = ("assign", "access", "hex", "markov")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -180,7 +180,7 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 
 
 def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         found = scan_texts(batch.column("text"))
         base = [[s for s in spans if s[2] != "markov"] for spans in found]
         counts = {f"n_{k}": pa.array([sum(s[2] == k for s in spans) for spans in found], pa.int64()) for k in KINDS}
@@ -214,7 +214,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(names.index("text"))
             found = scan_texts(texts)
             columns = list(batch.columns)
