@@ -1,12 +1,17 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph is a line with a word. A sparse (L1) multinomial logistic regression over word uni-, bi- and trigrams names
+A paragraph is a line with a word, or adjacent lines over which a notice is wrapped. A sparse (L1) multinomial logistic regression over word uni-, bi- and trigrams names
 its licence family; ``unknown`` is a class of its own. The model is trained here, on paragraphs made by rule and from a
 seed out of the notices below (shortened, with words changed, or set in other text) and of ordinary prose, including
 prose about licences. A held-out part of these samples calibrates it: a temperature fits the probabilities, and the
 acceptance threshold is the least that lets no held-out unknown paragraph pass. A family that the classifier names is
 confirmed only if enough of one notice's word trigrams stand in the paragraph.
 
+Lines are classified one by one, and n_paragraphs counts lines. Wrapped notices are looked for in blocks of adjacent
+lines, their comment leaders and words of symbols only taken out: where enough of a notice's trigrams stand close
+together over more than one line, the words from the first to the last are classified and confirmed as one paragraph, and
+the span is those lines. Of overlapping finds of one family the union stays, of different families the better covered.
+
 A null or empty text has no paragraphs. Rows are independent: any other column may be null, rows may repeat, and an empty
 table gives an empty result. Nothing is shuffled; texts are taken whole.
 """
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, parts
-from .shingles import AT_ONCE, STEPS, mixed, word_hashes
+from .shingles import AT_ONCE, IS_WORD, STEPS, mixed, word_hashes
 
 #: Notices by which public licences are granted (fixed values, quoted or in the usual wording).
 NOTICES = {
@@ -89,6 +94,10 @@ PROSE = (
 ).split()
 CLASSES = ("unknown", *NOTICES)
 GRAMS, SEED, SAMPLES, SHARE = 3, 77, 220, 0.5
+#: Bytes that stand before the text of a comment's line, and words a notice may be longer than its usual wording.
+LEADERS, SLACK = b"#*/;%!<>|-:", 8
+SYMBOL = np.zeros(256, bool)
+SYMBOL[np.frombuffer(LEADERS, np.uint8)] = True
 SEEDS = np.array([0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -154,6 +163,9 @@ class Model:
         self.threshold = max(0.5, float(best[truth == 0, 1:].max()) + 0.01)
         self.accuracy = float((np.where(best.max(1) >= self.threshold, best.argmax(1), 0) == truth).mean())
         self.notices = {k: [np.unique(grams(words_of(t), min(GRAMS, len(t.split())))) for t in NOTICES[f]] for k, f in enumerate(CLASSES) if k}
+        #: Length in words, length of the grams and grams of each notice; all grams of each length.
+        self.wordings = [(len(t.split()), min(GRAMS, len(t.split())), n) for k, f in enumerate(CLASSES) if k for t, n in zip(NOTICES[f], self.notices[k], strict=True)]
+        self.grams_of = {n: np.unique(np.concatenate([g for _, m, g in self.wordings if m == n])) for n in {m for _, m, _ in self.wordings}}
 
     @staticmethod
     def softmax(z: np.ndarray) -> np.ndarray:
@@ -195,9 +207,71 @@ class Model:
         sure = (best > 0) & (p.max(1) >= self.threshold)
         return [(int(there[i]), int(best[i]), float(p[i, best[i]])) for i in np.flatnonzero(sure)]
 
-    def confirmed(self, k: int, hashes: np.ndarray) -> bool:
+    def cover(self, k: int, hashes: np.ndarray) -> float:
+        """The greatest share of the grams of one of the family's notices that stand in the words."""
         own = np.unique(np.concatenate([grams(hashes, n) for n in range(1, GRAMS + 1)]))
-        return any(np.isin(t, own).mean() >= SHARE for t in self.notices[k])
+        return max(float(np.isin(t, own).mean()) for t in self.notices[k])
+
+    def wrapped(self, hashes: np.ndarray, line: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+        """First word and end of the stretches of words, over more than one line, that hold enough of a notice. ``line`` and ``block`` of each word, ascending."""
+        out = set()
+        for n, names in self.grams_of.items():
+            g = grams(hashes, n)
+            at = np.flatnonzero(names[np.minimum(np.searchsorted(names, g), len(names) - 1)] == g)
+            at = at[block[at] == block[at + n - 1]]
+            if not len(at):
+                continue
+            cuts = np.flatnonzero(np.diff(block[at])) + 1
+            for own in np.split(at, cuts):
+                if line[own[0]] == line[own[-1] + n - 1]:
+                    continue
+                for size, m, notice in self.wordings:
+                    if m == n and len(own) >= SHARE * len(notice):
+                        out |= {(a, b + n) for a, b in closest(own, g[own], notice, 2 * size + SLACK) if line[a] < line[b + n - 1]}
+        return sorted(out)
+
+
+def closest(at: np.ndarray, names: np.ndarray, notice: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """First and last place of the stretches of at most ``reach`` words with SHARE of the notice's grams, the fullest first; none overlap."""
+    ok = np.isin(names, notice)
+    at, names = at[ok].tolist(), names[ok].tolist()
+    held: dict[int, int] = {}
+    found, i = [], 0
+    for j, x in enumerate(names):
+        held[x] = held.get(x, 0) + 1
+        while at[j] - at[i] > reach or held[names[i]] > 1:
+            held[names[i]] -= 1
+            if not held[names[i]]:
+                del held[names[i]]
+            i += 1
+        if len(held) >= SHARE * len(notice):
+            found.append((-len(held), at[j] - at[i], at[i], at[j]))
+    out: list[tuple[int, int]] = []
+    for _, _, a, b in sorted(found):
+        if all(b < x or y < a for x, y in out):
+            out.append((a, b))
+    return out
+
+
+def bare(part: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bytes with comment leaders at the starts of lines, and words of symbols only, made blanks."""
+    word, symbol = IS_WORD[part], SYMBOL[part]
+    edge = np.zeros(len(part) + 1, bool)
+    edge[starts] = True
+    edge[len(part)] = True
+    first = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])) | word & edge[:-1])
+    last = np.flatnonzero(word & (np.concatenate((~word[1:], [True])) | edge[1:])) + 1
+    text = np.append(np.flatnonzero(word & ~symbol), len(part))
+    own = text[np.searchsorted(text, first)]  # the first byte from each word on that isn't a symbol
+    lines = np.searchsorted(starts, first, "right")
+    leads = np.concatenate(([True], lines[1:] != lines[:-1])) if len(first) else np.zeros(0, bool)
+    for _ in range(2):  # "/* *" and the like: the word after a leader leads as well
+        leads[1:] |= leads[:-1] & (own[:-1] >= last[:-1]) & (lines[1:] == lines[:-1])
+    until = np.where(leads | (own >= last), np.minimum(own, last), first)
+    step = np.zeros(len(part) + 1, np.int32)
+    np.add.at(step, first, 1)
+    np.add.at(step, until, -1)
+    return np.where(np.cumsum(step[:-1]) > 0, np.uint8(32), part)
 
 
 @lru_cache(1)
@@ -205,6 +279,34 @@ def model() -> Model:
     return Model()
 
 
+def wrapped_finds(part: np.ndarray, starts: np.ndarray, own: np.ndarray) -> list[tuple[float, int, int, int, float]]:
+    """Cover, first and last line, class and probability of the notices that are wrapped over lines. ``own``: offsets of the texts."""
+    hashes, before = word_hashes(bare(part, starts), np.append(starts, len(part)))
+    n_words = np.diff(before)
+    line = np.repeat(np.arange(len(starts)), n_words)
+    new = np.isin(starts, own) | (n_words == 0)
+    block = np.cumsum(new)[line]
+    out = []
+    for a, b in model().wrapped(hashes, line, block):
+        words = hashes[a:b]
+        for _, k, p in model().classify(words, np.zeros(len(words), np.int64), 1):
+            if (cover := model().cover(k, words)) >= SHARE:
+                out.append((cover, int(line[a]), int(line[b - 1]), k, p))
+    return out
+
+
+def settled(finds: list[tuple[float, int, int, int, float]]) -> list[tuple[float, int, int, int, float]]:
+    """The finds in order of lines: overlapping ones of a family as one, of different families the better covered."""
+    out: list[tuple[float, int, int, int, float]] = []
+    for cover, x, y, k, p in sorted(finds, key=lambda f: (-f[0], f[1] - f[2], f[1])):
+        over = [f for f in out if f[1] <= y and x <= f[2]]
+        if all(f[3] == k for f in over):
+            out = [f for f in out if f not in over]
+            every = [*over, (cover, x, y, k, p)]
+            out.append((max(f[0] for f in every), min(f[1] for f in every), max(f[2] for f in every), k, max(f[4] for f in every)))
+    return sorted(out, key=lambda f: f[1])
+
+
 def scan_texts(texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, str, float]]]]:
     """Number of paragraphs of each text, and start, end (code points), family and probability of its licence paragraphs."""
     strings = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
@@ -221,15 +323,19 @@ def scan_texts(texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, str,
         starts = starts[starts < max(1, len(part))]
         hashes, before = word_hashes(part, np.append(starts, len(part)))
         line = np.repeat(np.arange(len(starts)), np.diff(before))
-        found: dict[int, list] = {}
+        finds = []  # cover, first and last line, class and probability
         for x, k, p in model().classify(hashes, line, len(starts)):
-            if model().confirmed(k, hashes[before[x] : before[x + 1]]):
-                a, b = int(starts[x]), int(starts[x + 1]) if x + 1 < len(starts) else len(part)
-                doc = int(np.searchsorted(own, a, "right")) - 1
-                b = min(b, int(own[doc + 1]))
-                b -= b > a and part[b - 1] == 10
-                at = len(part[own[doc] : a].tobytes().decode())
-                found.setdefault(doc, []).append((at, at + len(part[a:b].tobytes().decode()), CLASSES[k], p))
+            if (cover := model().cover(k, hashes[before[x] : before[x + 1]])) >= SHARE:
+                finds.append((cover, x, x, k, p))
+        finds = settled(finds + wrapped_finds(part, starts, own))
+        found: dict[int, list] = {}
+        for _, x, y, k, p in finds:
+            a, b = int(starts[x]), int(starts[y + 1]) if y + 1 < len(starts) else len(part)
+            doc = int(np.searchsorted(own, a, "right")) - 1
+            b = min(b, int(own[doc + 1]))
+            b -= b > a and part[b - 1] == 10
+            at = len(part[own[doc] : a].tobytes().decode())
+            found.setdefault(doc, []).append((at, at + len(part[a:b].tobytes().decode()), CLASSES[k], p))
         full = np.diff(before) > 0
         counts = np.bincount(np.searchsorted(own, starts[full], "right") - 1, minlength=last - first)
         for i in range(last - first):

@@ -214,6 +214,42 @@ def test_license_scan(spark, folder):
     assert {n for d, n, *_ in rows if d in (5, 6, 7)} == {0}
 
 
+#: The usual texts as files have them.
+WHOLE_NOTICES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+}
+
+
+@pytest.mark.parametrize("width", [40, 60, 72, 80])
+@pytest.mark.parametrize("lead", ["", "# ", " * ", "// ", "//"])
+def test_wrapped_notices(width, lead):
+    import textwrap
+
+    import pyarrow as pa
+
+    for family, notice in WHOLE_NOTICES.items():
+        wrapped = "\n".join(lead + x for x in textwrap.wrap(notice, width))
+        text = f"{lead}Copyright (c) 2020 Ünal\n{lead.rstrip()}\n{wrapped}\n\nimport this\n"
+        ((_, spans),) = license_scan.scan_texts(pa.array([text]))
+        assert [f for *_, f, _ in spans] == [family], (family, spans)
+        a, b, *_ = spans[0]
+        assert text.index(wrapped) == a and "\n" in text[a:b] and wrapped.startswith(text[a:b])
+
+
+def test_wrapped_notices_stay_in_their_block():
+    import pyarrow as pa
+
+    head, tail = "Redistribution and use in source and binary forms, with", "or without modification, are permitted provided that the"
+    for gap, found in (("\n", 1), ("\n\n", 0), ("\n#\n", 0)):
+        ((_, spans),) = license_scan.scan_texts(pa.array([head + gap + tail]))
+        assert len(spans) == found
+    assert [x for _, x in license_scan.scan_texts(pa.array([head, tail]))] == [[], []]
+
+
 # 6
 
 
