@@ -3,8 +3,11 @@
 Rules find assignments, access keys and long hexadecimal runs. Beside them, every run of 16 or more characters of
 ``[A-Za-z0-9_+/=-]`` that has a digit and three letters, or goes from small to capital three times, is scored by two second-order character
 models, one of random strings and one of ordinary identifiers: where the mean log-likelihood ratio a character reaches the
-threshold, the run is a span of kind ``markov``, unless it overlaps a rule's span. Both models are trained here on
-labelled samples made by rule from a seed; the threshold is the least that flags no ordinary sample held out, plus MARGIN.
+threshold, the run is a span of kind ``markov``. Of other runs the best stretches of 16 characters or more between signs of
+equality are taken, so that a name or path in front doesn't outweigh a secret: one that reaches a threshold of its own is a
+span, with the whole of the words at its ends. What a rule's span covers is cut out of a run first. Both models are trained
+here on labelled samples made by rule from a seed; the thresholds are the least that flag no ordinary sample held out (for
+stretches, also names and paths put together from these), plus MARGIN.
 
 A null or empty text has no spans. Offsets count code points. Rows are independent: any column may be null, rows may
 repeat, and an empty table gives an empty result. Nothing is shuffled.
@@ -35,6 +38,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32, "run": 16}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-"
 RUN = re.compile(rb"[A-Za-z0-9_+/=-]{16,}")
+#: What a run has between the signs of equality, and what stands between the words of a name or path.
+PIECE, BETWEEN = re.compile(rb"[^=]{16,}"), b"/_-+"
 MARGIN, SMOOTH, SAMPLES, SEED = 0.1, 0.05, 6000, 20240
 #: What ordinary identifiers are made of.
 STEMS = (
@@ -69,6 +74,11 @@ def ordinary_samples(rng: random.Random, n: int) -> list[str]:
     return out
 
 
+def joined_samples(rng: random.Random, names: list[str], n: int) -> list[str]:
+    """Paths, keys and assignments put together from ordinary identifiers."""
+    return ["=".join(rng.choice("/_-").join(rng.choice(names) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 2))) for _ in range(n)]
+
+
 def random_samples(rng: random.Random, n: int) -> list[str]:
     """Draws from the alphabets of keys and digests."""
     kinds = (ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:62] + "_-", "0123456789abcdef", ALPHABET[26:62], ALPHABET[:26] + "0123456789")
@@ -103,16 +113,69 @@ class Detector:
         self.code = np.full(256, n, np.int64)
         self.code[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(n)
         self.threshold = max(0.0, max(map(self.score, (s.encode() for s in held)))) + MARGIN
+        longer = held + joined_samples(rng, held, SAMPLES)
+        self.part_threshold = max(0.0, max(best(self.ratios(x))[0] for s in longer for x in s.encode().split(b"=") if len(x) >= LEAST["run"])) + MARGIN
 
-    def score(self, run: bytes) -> float:
-        """Mean log-likelihood ratio of random to ordinary, a character."""
+    def ratios(self, run: bytes) -> np.ndarray:
+        """Log-likelihood ratio of random to ordinary of each character."""
         k = self.code[np.frombuffer(run, np.uint8)]
         before = np.concatenate(([len(ALPHABET)] * 2, k[:-1]))
-        return float(self.ratio[before[:-1], before[1:], k].mean())
+        return self.ratio[before[:-1], before[1:], k]
 
-    def random(self, run: bytes) -> bool:
+    def score(self, run: bytes) -> float:
+        """Mean log-likelihood ratio of random to ordinary, a character."""
+        return float(self.ratios(run).mean())
+
+    def gate(self, run: bytes) -> bool:
         digits = re.search(rb"[0-9]", run) and len(re.findall(rb"[A-Za-z]", run)) >= 3
-        return bool(digits or len(re.findall(rb"[a-z][A-Z]", run)) >= 3) and self.score(run) >= self.threshold
+        return bool(digits or len(re.findall(rb"[a-z][A-Z]", run)) >= 3)
+
+    def random(self, run: bytes) -> bool:
+        return self.gate(run) and self.score(run) >= self.threshold
+
+    def stretches(self, run: bytes) -> list[tuple[int, int]]:
+        """Start and end of what is random in a run: all of it, or its best stretches."""
+        if self.random(run):
+            return [(0, len(run))]
+        out = []
+        for m in PIECE.finditer(run):
+            x = self.ratios(m[0])
+            todo = [(0, len(x))]
+            while todo:
+                low, high = todo.pop()
+                if high - low < LEAST["run"]:
+                    continue
+                mean, a, b = best(x[low:high])
+                if mean < self.part_threshold:
+                    continue
+                a, b = a + low, b + low
+                more, less = np.cumsum(x[b:high] - self.part_threshold), np.cumsum(x[low:a][::-1] - self.part_threshold)
+                if len(more) and more.max() > 0:
+                    b += int(more.argmax()) + 1
+                if len(less) and less.max() > 0:
+                    a -= int(less.argmax()) + 1
+                while a > low and m[0][a] not in BETWEEN and m[0][a - 1] not in BETWEEN:
+                    a -= 1
+                while b < high and m[0][b - 1] not in BETWEEN and m[0][b] not in BETWEEN:
+                    b += 1
+                if self.gate(m[0][a:b]):
+                    lead = len(m[0][a:b]) - len(m[0][a:b].lstrip(BETWEEN))
+                    end = m.end() if b == len(x) else m.start() + b
+                    while b == len(x) and end < len(run) and run[end] == ord("="):  # padding
+                        end += 1
+                    out.append((m.start() + a + lead, end))
+                todo += [(low, a), (b, high)]
+        return sorted(out)
+
+
+def best(x: np.ndarray) -> tuple[float, int, int]:
+    """The greatest mean of a stretch of LEAST["run"] values or more, its start and end."""
+    sums, found = np.concatenate(([0.0], np.cumsum(x))), (-math.inf, 0, 0)
+    for n in range(LEAST["run"], min(2 * LEAST["run"], len(x) + 1)):  # a longer one has a part as good
+        means = (sums[n:] - sums[:-n]) / n
+        k = int(means.argmax())
+        found = max(found, (float(means[k]), k, k + n))
+    return found
 
 
 @lru_cache(1)
@@ -150,8 +213,11 @@ def spans_in(text: str, found: list[bytes], at: list[int]) -> list[tuple[int, in
         spans += [(k + m.start(), k + m.end(), "hex") for m in HEX.finditer(s) if len(m[0]) >= LEAST["hex"]]
     base = list(spans)
     for run, k in zip(found, at, strict=True):
-        if not any(a < k + len(run) and k < b for a, b, _ in base) and detector().random(run):
-            spans.append((k, k + len(run), "markov"))
+        done = 0
+        for a, b in [*sorted((a - k, b - k) for a, b, _ in base if a < k + len(run) and k < b), (len(run), len(run))]:
+            if a - done >= LEAST["run"]:
+                spans += [(k + done + x, k + done + y, "markov") for x, y in detector().stretches(run[done:a])]
+            done = max(done, b)
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

@@ -405,6 +405,27 @@ def test_markov_models():
     assert sum(d.random(x.encode()) for x in secrets.ordinary_samples(rng, 2000)) <= 2
 
 
+@pytest.mark.parametrize("name", ["client_secret_value=", "config/default/user_access_key=", "/services/customer/account/report/", "get_user_account_", "deadbeefdeadbeefdeadbeefdeadbeef-", "serviceAccountToken:"])
+def test_secrets_behind_names(name):
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    for n in (16, 20, 24, 32):
+        values = ["".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n)) for _ in range(300)]
+        found = secrets.scan_texts(pa.array([f"é {name}{v} end" for v in values]))
+        covered = [any(a <= 2 + len(name) and 2 + len(name) + n <= b for a, b, _ in spans) for spans in found]
+        assert sum(covered) >= 0.97 * len(values), n
+
+
+def test_names_and_paths_stay():
+    import pyarrow as pa
+
+    rng = random.Random(32)
+    texts = secrets.joined_samples(rng, secrets.ordinary_samples(rng, 2000), 2000)
+    found = [[s for s in spans if s[2] == "markov"] for spans in secrets.scan_texts(pa.array(texts))]
+    assert sum(map(bool, found)) <= 4
+
+
 def test_redaction(spark, docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
