@@ -15,7 +15,11 @@ of all shingles, so a pair must do so under several orders before its sets are c
 5. Second round: pairs under a shingle that are still in different components. Large groups of near copies are one
    component by then, so that no group is expanded into its pairs.
 
-In both rounds a pair needs enough shingles left from the shared one on in both sets (the positional bound): if that
+Components need no more links than these. ``all_links`` finds every link between classes: all pairs under each shingle of
+the prefixes, a shingle's classes dealt into groups of bounded size, so that no task has all of a common shingle's pairs.
+The pairs of a large group of near copies are as many as its square; ``op3_ngram_jaccard_links`` counts them by document.
+
+In all of these a pair needs enough shingles left from the shared one on in both sets (the positional bound): if that
 shingle is the first that they share, no earlier one can count. What is left must share prefix shingles under two other
 orders as well; only then are the sets intersected.
 
@@ -40,6 +44,8 @@ CLASSES = ((2, 2**27), (16, 2**24), (256, 2**22))
 PROBES, OTHER_ORDERS = 3, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Shingles that one task counts, about.
 A_BUCKET = 500_000
+#: Classes of one shingle that are paired with all others of it in one group, about.
+A_GROUP = 500
 
 
 def prefix(n: int) -> int:
@@ -209,10 +215,14 @@ def exploded(sets: DataFrame) -> DataFrame:
     return rows.withColumn("at", (F.col("_own") + F.col("_k")).cast("long")).drop("_own", "_k")
 
 
+def classes(docs: DataFrame, n_shingles: int) -> DataFrame:
+    """The classes that may link, as ``indexed`` gives them."""
+    return durable(indexed(docs, min(16, max(6, (n_shingles // A_BUCKET).bit_length()))).dropDuplicates(["set_id"]))
+
+
 def links(docs: DataFrame, n_shingles: int) -> DataFrame:
     """Links (a, b) between classes, enough of them for every component."""
-    log_buckets = min(16, max(6, (n_shingles // A_BUCKET).bit_length()))
-    found = durable(indexed(docs, log_buckets).dropDuplicates(["set_id"]))
+    found = classes(docs, n_shingles)
     common = F.round(F.aggregate("bounds", F.lit(0).cast("long"), lambda a, x: a + F.col("n") - x) / F.col("n"), 9)  # mean class of its shingles
     index = exploded(found.select("set_id", "n", "prefix", "bounds", common.alias("common")))
     centre = index.groupBy("token").agg(F.max(F.struct("common", "set_id", "n", "at")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
@@ -230,11 +240,21 @@ def links(docs: DataFrame, n_shingles: int) -> DataFrame:
     return durable(first.union(second))
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_id and component_id of every row."""
-    sets = durable(measured(docs))
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    part = components(links(docs, total))
+def all_links(docs: DataFrame, n_shingles: int) -> DataFrame:
+    """Every link (a, b) between classes, once, a < b."""
+    found = classes(docs, n_shingles)
+    index = exploded(found.select("set_id", "n", "prefix", "bounds"))
+    groups = index.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.ceil(F.col("k") / A_GROUP).cast("int").alias("groups"))
+    rows = durable(index.join(groups, "token"))
+    side = lambda k, group: rows.select("token", group.alias("group"), *[F.col(c).alias(f"{c}_{k}") for c in ("set_id", "n", "at")])
+    left, right = side("a", F.pmod(F.xxhash64("set_id"), F.col("groups")).cast("int")), side("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    pairs = left.join(right, ["token", "group"]).filter((F.col("set_id_a") < F.col("set_id_b")) & fits("a", "b"))
+    return durable(verified(pairs.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct(), found))
+
+
+def with_components(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """``sets`` with the components that the links make."""
+    part = components(edges)
     named = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = named.join(part.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -242,6 +262,25 @@ def joined(docs: DataFrame) -> DataFrame:
     return sets.join(class_of, "set_id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, set_id and component_id of every row."""
+    sets = durable(measured(docs))
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    return with_components(sets, links(docs, total))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """As ``joined``, with n_links: the other rows that a row links with, copies among them."""
+    sets = durable(measured(docs))
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    edges = all_links(docs, total)
+    size = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("_size"))
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(size.withColumnRenamed("set_id", "b"), "b").groupBy("a").agg(F.sum("_size").alias("_near"))
+    number = size.join(near.withColumnRenamed("a", "set_id"), "set_id", "left").select("set_id", (F.col("_size") - 1 + F.coalesce("_near", F.lit(0))).alias("n_links"))
+    return with_components(sets, edges).join(number, "set_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+
+
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One document of each component of ``docs``: that of the least doc_id, null last. Documents without words all stay."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
@@ -256,3 +295,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -4,7 +4,7 @@ from .bpe import op2_bpe
 from .fingerprints import op8_document_fingerprints
 from .license_scan import op5_license_scans
 from .mixing import op6_mixing
-from .ngram_join import op3_ngram_jaccard_join
+from .ngram_join import op3_ngram_jaccard_join, op3_ngram_jaccard_links
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op4_quality_rules
 from .secrets import op10_secret_scans
@@ -15,6 +15,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op3_ngram_jaccard_links": op3_ngram_jaccard_links,
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scans": op5_license_scans,
     "op6_mixing": op6_mixing,
@@ -35,5 +36,17 @@ e AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE
 u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT u.y, r.c FROM r JOIN u ON u.x = r.d WHERE r.c < u.y)
 SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d
+""",
+    "op3_ngram_jaccard_links": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')] ELSE list_distinct(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * k >= 75 * (i.n + j.n - k)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT u.y, r.c FROM r JOIN u ON u.x = r.d WHERE r.c < u.y)
+SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, coalesce(any_value(k.k), 0) AS n_links FROM r LEFT JOIN n ON n.doc_id = d LEFT JOIN (SELECT x, count(*) AS k FROM u GROUP BY x) k ON k.x = d GROUP BY d
 """,
 }

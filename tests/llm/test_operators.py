@@ -143,6 +143,37 @@ def test_jaccard_join_near_the_bound(spark):
         assert {got[k] for k in g} == {min(g)}
 
 
+def test_every_link_is_counted(spark, folder, monkeypatch):
+    monkeypatch.setattr(ngram_join, "A_GROUP", 3)  # so that common shingles are dealt into groups
+    rng = random.Random(9)
+    texts = [t for _, t, *_ in ROWS]
+    for base in range(4):
+        words = [f"b{base}w{i}" for i in range(60)]
+        for _ in range(12):
+            w = list(words)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    want = [sum(bool(x) and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = ngram_join.counted(df).collect()
+    assert {r.doc_id: r.n_links for r in rows} == dict(enumerate(want)) and len(rows) == len(texts)
+    assert max(want) > 5
+    part = {k: min(g) for g in components(dict(enumerate(sets))) for k in g}
+    assert {r.doc_id: r.component_id for r in rows} == part
+
+
+def test_links_query_gives_the_rows_of_its_sql(spark):
+    import duckdb
+
+    folder, name = "/root/testdata/sf0.001", "op3_ngram_jaccard_links"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    rows = queries.QUERIES[name](spark, folder).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert count(map(tuple, rows)) == count(con.execute(queries.ORACLES[name]).fetchall())
+
+
 def test_one_of_each_group(spark, docs):
     kept = ngram_join.distinct_documents(docs)
     assert kept.columns == docs.columns
