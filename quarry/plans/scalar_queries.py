@@ -94,6 +94,20 @@ def div_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("l_orderkey", "l_linenumber", F.expr("x div d").alias("q"), F.expr("x % d").alias("r"), F.expr("u div d").alias("uq"), F.expr("u % d").alias("ur"))
 
 
+@query(
+    "div_mod_all",
+    """
+SELECT l_orderkey, l_linenumber, -l_partkey // d AS q, -l_partkey % d AS r, (-l_partkey & 4294967295) // (d & 4294967295) AS uq, (-l_partkey & 4294967295) % (d & 4294967295) AS ur
+FROM (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_linenumber::bigint - 3 END AS d FROM lineitem)
+""",
+)
+def div_mod_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As div_mod, of every row: null where the divisor is zero, which the reference's instructions trap."""
+    d = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber").cast("long") - 3)
+    x = lines(spark, sf_dir).withColumns({"x": -F.col("l_partkey").cast("long"), "d": d}).withColumns({"u": N.unsigned(F.col("x"), 32), "v": N.unsigned(F.col("d"), 32)})
+    return x.select("l_orderkey", "l_linenumber", F.expr("x div d").alias("q"), F.expr("x % d").alias("r"), F.expr("u div v").alias("uq"), F.expr("u % v").alias("ur"))
+
+
 @query("float_formula", "SELECT l_orderkey, l_linenumber, round(x / 3 + 2 / y - x * y, 6) + 0.0 AS f, round(pow(x, 2), 6) AS p, abs(y - 1000) AS a FROM (SELECT *, l_quantity AS x, l_extendedprice AS y FROM lineitem)")
 def float_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("l_quantity"), F.col("l_extendedprice")

@@ -427,3 +427,10 @@ def test_bit_depths(spark):
     df = spark.createDataFrame([(1, "abracadabra"), (2, ""), (3, None)], "id int, text string")
     got = {r.id: r for r in B.bit_depth_report(df, "id").collect()}
     assert got[1].e64 == 3 and got[1].g1 == got[1].e1 + 32 and got[1].best == 1 and got[2].size == got[3].e8 == 0
+
+
+def test_division_of_every_row(spark, tmp_path):
+    from quarry.plans.all_queries import QUERIES
+
+    spark.createDataFrame([(1, k, 7) for k in range(1, 6)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(QUERIES["div_mod_all"](spark, str(tmp_path)).drop("l_orderkey")) == [(1, 3, -1, 0, 2**32 - 7), (2, 7, 0, 0, 2**32 - 7), (3, None, None, None, None), (4, -7, 0, 2**32 - 7, 0), (5, -3, -1, 2**31 - 4, 1)]
