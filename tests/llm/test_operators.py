@@ -10,10 +10,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import SparkFiles
 from tokenizers import Tokenizer
 
 from quarry.llm import bpe, fingerprints, license_scan, mixing, ngram_join, quality_classifier, quality_rules, queries, secrets, sharding, warc
 
+from quarry.llm.pieces import Pieces
+
 from .conftest import ROWS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,30 +74,72 @@ def test_bpe_query(spark, folder, reference):
 
 def test_bpe_texts(reference):
     tok = bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    words = ["the", "fox", "über", "日本", "a.\nThe", "endings,"]
-    data = bpe.compile_lexicon({(" " + w).encode(): x for w, x in zip(words, tok.encode_words([" " + w for w in words]), strict=True)})
+    words = [w.encode() for w in (" the", " fox", " über", " 日本", "a", "'s", " endings", "the", "  ")]
+    data = bpe.compile_lexicon(bpe.merged(tok, words))
     coder, rng = bpe.Encoder(tok, bpe.Lexicon(data)), random.Random(3)
     parts = [" ", "  ", "\n", "\t", "a", "the", "'s", "1", "!", "é", "　", ".", "日", "<|endoftext|>", "​", "\x85", "\x1c"]
-    texts = ["", "x" * 3000, "ab" * 700, *("".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(1500))]
+    texts = ["", "x" * 3000, "ab" * 700, "don't 're ''ve x'", "'s's 'tis\n'll", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(1500))]
     for text, got in zip(texts, coder.encode(texts), strict=True):
         ids = reference.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(got, "<u4").tolist() == ids, text
+        assert got.tolist() == ids, text
         assert bpe.decode(ids, tok.table) == text
 
 
 def test_lexicon_is_minimal_and_exact():
     rng = random.Random(4)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) + rng.choice(["", "ing", "ed"]) for _ in range(400)})
-    entries = {w.encode(): np.arange(i % 4, dtype="<u4").tobytes() + bytes(4) for i, w in enumerate(words)}
+    entries = {w.encode(): np.arange(i % 4 + 1, dtype=np.int32) * i for i, w in enumerate(words)}
     lex = bpe.Lexicon(bpe.compile_lexicon(entries))
-    found = lex.find([*entries, b"zzz", b"", b"aaaaaaaaaaaa", b"a" * 90])
+    pieces = Pieces([*words, "zzz", "a" * 32, "aaaaaaaaaaaa", "a" * 90])
+    found = lex.find(pieces, np.arange(len(pieces.size)))
     assert found[-4:].tolist() == [-1] * 4
-    assert all(lex.ids[lex.ends[k] : lex.ends[k + 1]].tobytes() == x for k, x in zip(found.tolist(), entries.values(), strict=False))
+    assert all(lex.ids[lex.ends[k] : lex.ends[k + 1]].tolist() == x.tolist() for k, x in zip(found.tolist(), entries.values(), strict=False))
     # states with equal right languages are one
     tails = {frozenset(w[i:] for w in words if w.startswith(p)) for p in {w[:j] for w in words for j in range(len(w) + 1)} for i in [len(p)]}
     assert len(lex.final) == len(tails)
 
 
+def test_long_texts_are_cut_between_words(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "AT_ONCE", 50)
+    tok, rng = bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    coder = bpe.Encoder(tok, bpe.Lexicon(bpe.compile_lexicon({})))
+    texts = [" ".join(rng.choice(["it's", "a", "", "\n", "über", "12", "x" * 40, "<|endoftext|>", "'"]) for _ in range(400)) for _ in range(20)]
+    for text, got in zip(texts, coder.encode(texts), strict=True):
+        assert got.tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_what_is_known_is_forgotten_when_full(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    tok, rng = bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
+    coder = bpe.Encoder(tok, bpe.Lexicon(bpe.compile_lexicon(bpe.merged(tok, [b" a", b"ab"]))))
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "b", " ", "c", "1", "y" * 33, "z" * 40]) for _ in range(rng.randint(0, 60)))
+        assert coder.encode([text])[0].tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_with_one_key_are_kept_apart(reference, monkeypatch):
+    monkeypatch.setattr(Pieces, "keys", lambda self, which: np.zeros(len(which), np.uint64) + self.size[which].astype(np.uint64))
+    tok = bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    coder = bpe.Encoder(tok, bpe.Lexicon(bpe.compile_lexicon({})))
+    for text in ("the cat and the dog", "dog cat the", "one two six ten"):
+        assert coder.encode([text])[0].tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_lexicon_of_words_that_are_all_as_frequent(spark):
+    tok = public_tokenizers.path("byte_bpe_50k.json")
+    words = spark.range(70_000).selectExpr("translate(string(id), '0123456789', 'abcdefghij') w")
+    docs = words.selectExpr("array_join(array_repeat(w, 3), ' ') AS text").repartition(4)
+    name = bpe.build_lexicon(docs, tok)
+    with open(SparkFiles.get(name), "rb") as f:
+        assert 60_000 < len(bpe.Lexicon(f.read()).ends) - 1 <= bpe.LEXICON
+
+
+def test_carried_columns_that_clash(spark, docs):
+    out = bpe.encode(docs.selectExpr("doc_id", "text", "1 AS n_tokens"), public_tokenizers.path("byte_bpe_50k.json"), carry=("doc_id", "n_tokens", "text"))
+    assert out.columns == ["doc_id", "carried_n_tokens", "text", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert all(r.carried_n_tokens == 1 and (r.n_tokens > 0) == bool(r.text) for r in out.collect())
+
+
 # 3
 
 
