@@ -107,3 +107,14 @@ def running(df: DataFrame, key: str, piece: str, order: list[str], weight: str |
         .withColumn("before", F.col("_w0") + F.sum(w).over(within.rowsBetween(Window.unboundedPreceding, 0)) - w)
         .drop("_n0", "_w0")
     )
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, chunks: int = 256) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key, where one key may have most of the rows.
+
+    Each key's rows are cut by the hash of ``by`` into ``chunks``; the table goes to the chunks that there are (so at most
+    that many rows for a key), and rows meet it chunk by chunk. ``rows`` is read twice: make it durable.
+    """
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(by), F.lit(chunks)).cast("int"))
+    dealt = rows.select(key, "_chunk").distinct().join(table, key, "left")
+    return rows.join(dealt, [key, "_chunk"], "left").drop("_chunk")

@@ -13,18 +13,22 @@ of all shingles, so a pair must do so under several orders before its sets are c
 4. First round: under each shingle, every class is paired with one of them only, the one whose shingles are the most
    common, as an original's are among its copies. Links found give components.
 5. Second round: pairs under a shingle that are still in different components. Large groups of near copies are one
-   component by then, so that no group is expanded into its pairs.
+   component by then. Under each shingle only classes outside its largest component look for partners, so that no group
+   is expanded into its pairs.
 
 Components need no more links than these. ``all_links`` finds every link between classes: all pairs under each shingle of
 the prefixes, a shingle's classes dealt into groups of bounded size, so that no task has all of a common shingle's pairs.
 The pairs of a large group of near copies are as many as its square; ``op3_ngram_jaccard_links`` counts them by document.
 
 In all of these a pair needs enough shingles left from the shared one on in both sets (the positional bound): if that
-shingle is the first that they share, no earlier one can count. What is left must share prefix shingles under two other
-orders as well; only then are the sets intersected.
-
-Null texts and texts without words have empty sets and link with nothing; repeated rows are copies; with null doc_ids, a
-component's id is the least that isn't null, if any. An empty table gives an empty result. Extra columns are ignored.
+shingle is the first that they share, no earlier one can count. The bound tells for each entry of the index how large a
+partner may be, and that the smaller set of a pair has the shingle among its first seventh; pairs are made between these
+and larger sets, in classes of size. The filters of the orders are then intersected: what is left must share a shingle of
+the prefixes under two other orders, of which only 32 bits a shingle travel. Sets go to the pairs that pass, for the exact test.
+
+Null texts and texts without words have empty sets and link with nothing; texts of any length are taken whole; repeated rows
+are copies; with null doc_ids, a component's id is the least that isn't null, if any. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import aside, documents, durable, parts
+from .common import aside, documents, durable, parts, spread_join
 from .shingles import mixed, set_id, sets_of
 
 #: Sets in which a shingle of each class occurs at least, and bits of the class's filter.
@@ -136,7 +140,8 @@ def classes_of(tokens: np.ndarray, filters: list[np.ndarray], log_buckets: int)
 
 
 def indexed(docs: DataFrame, log_buckets: int) -> DataFrame:
-    """set_id, n, prefix (the shared shingles of the first prefix), tokens and bounds (class by class) of the classes that may link."""
+    """The classes that may link: set_id, n, prefix (the shared shingles of the first prefix), under1 and under2 (32 bits of
+    those of the other prefixes), tokens and bounds (class by class)."""
     filters = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, log_buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +154,13 @@ def indexed(docs: DataFrame, log_buckets: int) -> DataFrame:
                 if len(s) and own < reach and (x := set_id(s)) not in seen:
                     seen.add(x)
                     ordered = s[np.argsort(kinds, kind="stable")]
-                    ends = np.cumsum(np.bincount(kinds, minlength=len(CLASSES) + 1))
-                    rows.append((x, len(s), ordered[own:reach].view(np.int64), ordered.tobytes(), ends.tolist()))
-            kinds_of = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds_of)], ["set_id", "n", "prefix", "tokens", "bounds"])
+                    ends = np.cumsum(np.bincount(kinds, minlength=len(CLASSES) + 1)).tolist()
+                    others = [first_under(ordered, ends, order).astype(np.uint32).view(np.int32) for order in OTHER_ORDERS]
+                    rows.append((x, len(s), ordered[own:reach].view(np.int64), *others, ordered.tobytes(), ends))
+            kinds_of = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds_of)], ["set_id", "n", "prefix", "under1", "under2", "tokens", "bounds"])
 
-    return docs.select("text").mapInArrow(run, "set_id binary, n long, prefix array<long>, tokens binary, bounds array<int>")
+    return docs.select("text").mapInArrow(run, "set_id binary, n long, prefix array<long>, under1 array<int>, under2 array<int>, tokens binary, bounds array<int>")
 
 
 def first_under(tokens: np.ndarray, bounds: list[int], order: int) -> np.ndarray:
@@ -169,24 +175,21 @@ def first_under(tokens: np.ndarray, bounds: list[int], order: int) -> np.ndarray
     return np.concatenate(out)
 
 
-def linked(a: np.ndarray, a_bounds: list[int], b: np.ndarray, b_bounds: list[int]) -> bool:
-    for order in OTHER_ORDERS:
-        if not len(np.intersect1d(first_under(a, a_bounds, order), first_under(b, b_bounds, order), True)):
-            return False
-    return 7 * len(np.intersect1d(a, b, True)) >= 3 * (len(a) + len(b))
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b) that link: those that share prefix shingles under the other orders too, and then enough of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in batches:
             a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in ("a_tokens", "b_tokens"))
-            ok = [linked(x, i, y, j) for x, i, y, j in zip(a, batch.column("a_bounds").to_pylist(), b, batch.column("b_bounds").to_pylist(), strict=True)]
+            ok = [7 * len(np.intersect1d(x, y, True)) >= 3 * (len(x) + len(y)) for x, y in zip(a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda k: sets.select(F.col("set_id").alias(k), F.col("tokens").alias(f"{k}_tokens"), F.col("bounds").alias(f"{k}_bounds"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "a_bounds", "b_tokens", "b_bounds").mapInArrow(run, "a binary, b binary")
+    def both(of: DataFrame, *names: str) -> DataFrame:
+        side = lambda k: sets.select(F.col("set_id").alias(k), *[F.col(n).alias(f"{k}_{n}") for n in names])
+        return of.join(side("a"), "a").join(side("b"), "b")
+
+    near = both(pairs.select("a", "b"), "under1", "under2").filter(F.arrays_overlap("a_under1", "b_under1") & F.arrays_overlap("a_under2", "b_under2"))
+    return both(near.select("a", "b"), "tokens").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,24 +198,49 @@ def components(edges: DataFrame) -> DataFrame:
     labels = durable(both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("id"), F.least("a", "_b").alias("component")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("_near"))
-        lower = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("_was"), F.least("component", "_near").alias("_to"))
+        lower = durable(labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("_was"), F.least("component", "_near").alias("_to")))
         far = lower.select(F.col("id").alias("_to"), F.col("_to").alias("_on"))
-        stepped = durable(lower.join(far, "_to", "left").select("id", "_was", F.least("_to", "_on").alias("component")))
+        stepped = durable(spread_join(lower, far, "_to", "id").select("id", "_was", F.least("_to", "_on").alias("component")))
         labels = stepped.select("id", "component")
         if stepped.filter("component <> _was").isEmpty():
             return labels
 
 
-def fits(a: str, b: str):
-    """Whether sets n_a and n_b large that first share the shingles at places at_a and at_b of the first order may link."""
-    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
-    return 7 * F.least(n - F.col(f"at_{a}"), m - F.col(f"at_{b}")) >= 3 * (n + m)
+#: Size that the partner of a set may have at most, if the shingle at place ``at`` is the first that they share.
+LARGEST = "(7 * (n - at)) div 3 - n"
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / np.log(4 / 3)).cast("int")
 
 
 def exploded(sets: DataFrame) -> DataFrame:
-    """A row for each shingle of the prefixes, with its place in the set's order."""
+    """A row for each shingle of the prefixes, with the largest size of a partner, where one is possible."""
     rows = sets.select(*[c for c in sets.columns if c not in ("prefix", "bounds")], F.col("bounds")[0].alias("_own"), F.posexplode("prefix").alias("_k", "token"))
-    return rows.withColumn("at", (F.col("_own") + F.col("_k")).cast("long")).drop("_own", "_k")
+    rows = rows.withColumn("at", (F.col("_own") + F.col("_k")).cast("long")).withColumn("largest", F.expr(LARGEST)).drop("_own", "_k", "at")
+    return rows.filter("4 * largest >= 3 * n")
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """The entries that may be the smaller set of a pair, in their class of size."""
+    return rows.filter("largest >= n").withColumn("size_class", size_class(F.col("n")))
+
+
+def large(rows: DataFrame) -> DataFrame:
+    """The entries in the classes of size of all smaller sets that may be their partners."""
+    return rows.withColumn("size_class", F.explode(F.sequence(size_class(F.ceil(F.col("n") * 0.75)), size_class(F.least("n", "largest")))))
+
+
+def paired(larger: DataFrame, smaller: DataFrame, *keys: str) -> DataFrame:
+    """Pairs of entries under one shingle that meet the positional bound, the larger set (of equal ones, that of larger name) as a."""
+    a, b = (df.select("token", "size_class", *keys, *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in ("token", "size_class", *keys)]) for k, df in (("a", larger), ("b", smaller)))
+    pairs = a.join(b, ["token", "size_class", *keys])
+    first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("set_id_a") > F.col("set_id_b")))
+    return pairs.filter(first & (F.col("n_b") <= F.col("largest_a")) & (F.col("n_a") <= F.col("largest_b")))
+
+
+def named(pairs: DataFrame, a: str = "set_id_a", b: str = "set_id_b") -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def classes(docs: DataFrame, n_shingles: int) -> DataFrame:
@@ -225,19 +253,18 @@ def links(docs: DataFrame, n_shingles: int) -> DataFrame:
     found = classes(docs, n_shingles)
     common = F.round(F.aggregate("bounds", F.lit(0).cast("long"), lambda a, x: a + F.col("n") - x) / F.col("n"), 9)  # mean class of its shingles
     index = exploded(found.select("set_id", "n", "prefix", "bounds", common.alias("common")))
-    centre = index.groupBy("token").agg(F.max(F.struct("common", "set_id", "n", "at")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    pairs = index.join(centre, "token").select("set_id", F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c.set_id").alias("centre"), F.col("c.n").alias("n_b"), F.col("c.at").alias("at_b"))
-    pairs = pairs.filter(fits("a", "b") & (F.col("set_id") != F.col("centre"))).select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
-    first = durable(verified(pairs, found))
+    centre = index.groupBy("token").agg(F.max(F.struct("common", "set_id", "n", "largest")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "c")
+    fits = (F.col("n") <= F.col("c.largest")) & (F.col("c.n") <= F.col("largest")) & (F.col("set_id") != F.col("c.set_id"))
+    first = durable(verified(named(index.drop("common").join(centre, "token").filter(fits).select("set_id", F.col("c.set_id").alias("centre")), "set_id", "centre"), found))
     part = components(first)
     placed = found.select("set_id", "n", "prefix", "bounds").join(part.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id")).drop("component")
-    placed = durable(exploded(placed))
-    open_tokens = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
-    rest = durable(placed.join(open_tokens, "token", "left_semi"))
-    left, right = (rest.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("set_id", "n", "at", "part")]) for k in "ab")
-    crossing = left.join(right, "token").filter((F.col("part_a") < F.col("part_b")) & fits("a", "b"))
-    second = verified(crossing.select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct(), found)
-    return durable(first.union(second))
+    rows = exploded(durable(placed))
+    # the largest component under each shingle that has several
+    most = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "most")
+    marked = durable(rows.join(most, "token").withColumn("outside", F.col("part") != F.col("most")).drop("most"))
+    outside, inside = marked.filter("outside"), marked.filter("not outside")
+    crossing = paired(large(outside), small(marked)).filter("part_a <> part_b").unionByName(paired(large(inside), small(outside)))
+    return durable(first.union(verified(named(crossing), found)))
 
 
 def all_links(docs: DataFrame, n_shingles: int) -> DataFrame:
@@ -246,19 +273,18 @@ def all_links(docs: DataFrame, n_shingles: int) -> DataFrame:
     index = exploded(found.select("set_id", "n", "prefix", "bounds"))
     groups = index.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.ceil(F.col("k") / A_GROUP).cast("int").alias("groups"))
     rows = durable(index.join(groups, "token"))
-    side = lambda k, group: rows.select("token", group.alias("group"), *[F.col(c).alias(f"{c}_{k}") for c in ("set_id", "n", "at")])
-    left, right = side("a", F.pmod(F.xxhash64("set_id"), F.col("groups")).cast("int")), side("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    pairs = left.join(right, ["token", "group"]).filter((F.col("set_id_a") < F.col("set_id_b")) & fits("a", "b"))
-    return durable(verified(pairs.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct(), found))
+    dealt = small(rows).withColumn("group", F.pmod(F.xxhash64("set_id"), F.col("groups")).cast("int")).drop("groups")
+    to_all = large(rows).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    return durable(verified(named(paired(to_all, dealt, "group")), found))
 
 
 def with_components(sets: DataFrame, edges: DataFrame) -> DataFrame:
     """``sets`` with the components that the links make."""
-    part = components(edges)
-    named = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    named = named.join(part.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    class_of = named.join(least, "component").select("set_id", "component", "component_id")
+    classes_of = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    ends = durable(components(edges).withColumnRenamed("id", "set_id").join(classes_of, "set_id"))
+    linked = spread_join(ends.drop("least"), ends.groupBy("component").agg(F.min("least").alias("component_id")), "component", "set_id")
+    alone = F.col("component").isNull()
+    class_of = classes_of.join(linked, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return sets.join(class_of, "set_id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
@@ -282,14 +308,17 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component of ``docs``: that of the least doc_id, null last. Documents without words all stay."""
+    """One document of each component of ``docs``: that of the least doc_id, null last. Documents without words all stay.
+
+    Texts are shuffled once, by doc_id and hash, to meet what stays.
+    """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
-    stay = joined(docs).filter("n_shingles > 0").groupBy("component").agg(best.alias("x")).select(F.col("x.id").alias("_id"), F.col("x.hash").alias("_hash"))
+    stay = joined(docs).filter("n_shingles > 0").groupBy("component").agg(best.alias("x")).select(F.col("x.none").alias("_none"), F.coalesce(F.col("x.id").cast("string"), F.lit("")).alias("_id"), F.col("x.hash").alias("_hash"), F.lit(True).alias("_stay"))
     moved, back = aside(docs)
     of = lambda c: F.col(f"_d{docs.columns.index(c)}")
-    keyed = moved.withColumns({"_key": of("doc_id"), "_text": F.xxhash64(of("text")), "_empty": F.coalesce(~of("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))})
-    kept = keyed.join(stay, keyed["_key"].eqNullSafe(stay["_id"]) & (keyed["_text"] == stay["_hash"]), "left").filter(F.col("_hash").isNotNull() | F.col("_empty"))
-    turn = Window.partitionBy("_key", "_text").orderBy("_hash")  # rows that are equal in both are copies, of which one stays
+    keyed = moved.withColumns({"_none": of("doc_id").isNull(), "_id": F.coalesce(of("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64(of("text")), "_empty": F.coalesce(~of("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))})
+    kept = keyed.join(stay, ["_none", "_id", "_hash"], "left").filter(F.col("_stay") | F.col("_empty"))
+    turn = Window.partitionBy("_none", "_id", "_hash").orderBy("_stay")  # rows that are equal in these are copies, of which one stays
     return kept.withColumn("_turn", F.row_number().over(turn)).filter((F.col("_turn") == 1) | F.col("_empty")).select(*back)
 
 
