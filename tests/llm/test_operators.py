@@ -481,6 +481,47 @@ def test_markov_models():
     assert sum(d.random(x.encode()) for x in secrets.ordinary_samples(rng, 2000)) <= 2
 
 
+#: Words of running text and identifiers that no list of the module has, and keys drawn by another generator and alphabets.
+PLAIN = """internationalisation Donaudampfschifffahrt responsabilidades incompréhensiblement otorhinolaryngology uncharacteristically
+HttpServletRequestWrapper abstract_singleton_proxy_factory content-security-policy /usr/local/share/applications max_concurrent_requests_per_host
+2023-11-04_12-30-55 4111111111111111 1234-5678-9012-3456 ================ ____________________ --------+--------+ hahahahahahahahahaha
+counterrevolutionaries straightforwardness disproportionately electroencephalography getElementsByClassName CONNECTION_TIMEOUT_SECONDS""".split()
+
+
+@pytest.mark.parametrize(("alphabet", "recall"), [("abcdefghijklmnopqrstuvwxyz", 0.95), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.95), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.97), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.97), ("23456789abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", 0.98)])
+def test_recall_on_strings_of_another_generator(alphabet, recall):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(17)
+    for n in (16, 20, 24):
+        values = ["".join(rng.choice(list(alphabet), n)) for _ in range(400)]
+        found = secrets.scan_texts(pa.array(values))
+        assert sum(any(a == 0 and b == n for a, b, _ in x) for x in found) >= recall * len(values), n
+
+
+def test_plain_words_stay():
+    import pyarrow as pa
+
+    assert secrets.scan_texts(pa.array([" ".join(PLAIN), "\n".join(PLAIN)])) == [[], []]
+
+
+def test_markov_spans_of_whole_runs(spark, folder):
+    """Runs that no other sign cuts: the models' verdict by brute force, a character at a time."""
+    d, rng = secrets.detector(), random.Random(41)
+    texts = [rng.choice(secrets.random_samples(rng, 1) + secrets.ordinary_samples(rng, 1)) for _ in range(300)]
+    texts = [t for t in texts if not re.search("[=/_+-]", t) and not brute_base(t)]
+    n = len(secrets.ALPHABET)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.scan(df).collect()}
+    for i, t in enumerate(texts):
+        codes = [n, n] + [secrets.ALPHABET.index(c) for c in t]
+        mean = sum(d.ratio[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)) / len(t)
+        own = any(c.islower() for c in t) + 2 * any(c.isupper() for c in t) + 4 * any(c.isdigit() for c in t)
+        if mean >= d.threshold[own]:
+            assert rows[i].spans == f"markov:0:{len(t)}" and rows[i].n_markov == 1
+    assert sum(r.n_markov for r in rows.values()) > 50
+
+
 @pytest.mark.parametrize("name", ["client_secret_value=", "config/default/user_access_key=", "/services/customer/account/report/", "get_user_account_", "deadbeefdeadbeefdeadbeefdeadbeef-", "serviceAccountToken:"])
 def test_secrets_behind_names(name):
     import pyarrow as pa
