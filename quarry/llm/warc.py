@@ -1,12 +1,15 @@
 """WARC derivatives: metadata and plain-text conversion records of responses.
 
 Each response becomes a ``metadata`` record (application/warc-fields: status, source HTTP headers, digests, title, links)
-and a ``conversion`` record (text/plain). Both keep what links them to their source: WARC-Refers-To with its identifier,
-its target URI and date, and the payload digest of the source. Identifiers are name-based UUIDs, so that reruns agree.
+and, unless its content type says that it is no text, a ``conversion`` record (text/plain). Both keep what links them to
+their source: WARC-Refers-To with its identifier, its target URI and date, and the payload digest of the source. Transfer
+and content encodings are undone first (an encoding that is unknown or broken leaves the body as it is); links are resolved
+against the page's address. Identifiers are name-based UUIDs, so that reruns agree.
 
 Records that are no responses are passed over. A null block is empty; a response without a header end is all body; a null
-URI or date is left out of the headers; repeated rows give repeated records. An empty table gives an empty result. Rows
-are independent and nothing is shuffled.
+URI or date is left out of the headers; control characters in header lines become blanks; pages of any length are taken
+whole; repeated rows give repeated records; extra columns are ignored. An empty table gives an empty result. Rows are
+independent and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +19,11 @@ import gzip
 import hashlib
 import html
 import io
+import itertools
 import re
+import urllib.parse
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, parts
 
 RECORD = "record_id string, type string, uri string, date string, headers array<struct<name: string, value: string>>, block binary"
 PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
@@ -35,7 +41,9 @@ SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of U
 UNSEEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg|head)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 BREAKS = re.compile(r"<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|blockquote|pre)|br)\b[^>]*>", re.I)
 TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
+CONTROL = re.compile(r"[\x00-\x1f\x7f]+")
 TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
+BASE = re.compile(r"""<base\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
@@ -55,43 +63,100 @@ def plain_text(page: str) -> str:
 
 
 def opened(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, HTTP headers and payload of a response block."""
+    """Status line, HTTP headers and payload (without transfer encoding) of a response block."""
     head, end, body = block.partition(b"\r\n\r\n")
     if not end or not head.startswith(b"HTTP/"):
         return "", [], block
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
-    return first, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], body
+    headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
+    if header(headers, "transfer-encoding").lower().endswith("chunked"):
+        body = unchunked(body)
+    return first, headers, body
+
+
+def header(headers: list[tuple[str, str]], name: str) -> str:
+    return next((v for k, v in headers if k.lower() == name), "")
+
+
+def unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        line = body.find(b"\r\n", at)
+        size = re.match(rb"[ \t]*([0-9A-Fa-f]+)[ \t]*(;|$)", body[at:line]) if line >= 0 else None
+        if not size:
+            return body  # not chunked, or cut off
+        n = int(size[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[line + 2 : line + 2 + n])
+        at = line + 4 + n
+
+
+def decoded(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """The payload without content encodings."""
+    for coding in reversed([x.strip().lower() for x in header(headers, "content-encoding").split(",")]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                body = gzip.decompress(body)
+            elif coding == "deflate":
+                body = zlib.decompress(body, 15 if body[:1] and body[0] & 15 == 8 else -15)
+            elif coding not in ("", "identity"):
+                break
+        except (OSError, EOFError, zlib.error):
+            break
+    return body
+
+
+def is_text(headers: list[tuple[str, str]]) -> bool:
+    kind = header(headers, "content-type").partition(";")[0].strip().lower()
+    return not kind or kind.startswith("text/") or kind.endswith(("xml", "json", "javascript"))
 
 
 def charset(headers: list[tuple[str, str]]) -> str:
-    for k, v in headers:
-        if k.lower() == "content-type" and (m := re.search(r"charset=[\"']?([\w.:-]+)", v, re.I)):
-            try:
-                "".encode(m[1])
-                return m[1]
-            except LookupError:
-                break
+    if m := re.search(r"charset=[\"']?([\w.:-]+)", header(headers, "content-type"), re.I):
+        try:
+            "".encode(m[1])
+            return m[1]
+        except LookupError:
+            pass
     return "utf-8"
 
 
 def one_line(x: str) -> str:
-    return re.sub(r"\s+", " ", x).strip()
+    return re.sub(r"[\s\x00-\x1f\x7f]+", " ", x).strip()
+
+
+def outlinks(page: str, address: str | None) -> list[str]:
+    """The targets of a page's links, resolved against its address or the base that it names."""
+    base = address or ""
+    if m := BASE.search(page):
+        base = joined(base, html.unescape(next(x for x in m.groups() if x is not None)))
+    return [joined(base, html.unescape(next(x for x in m if x))) for m in HREF.findall(page) if any(m)]
+
+
+def joined(base: str, link: str) -> str:
+    try:
+        return urllib.parse.urljoin(base, one_line(link))
+    except ValueError:  # no address at all
+        return one_line(link)
 
 
 def derived(source: dict) -> list[dict]:
-    """The two records of a response."""
+    """The records of a response."""
     block, own = source["block"] or b"", {h["name"].lower(): h["value"] for h in source["headers"] or () if h and h["name"]}
     status, http, body = opened(block)
-    page = body.decode(charset(http), "replace")
+    page = decoded(http, body).decode(charset(http), "replace") if is_text(http) else ""
     payload = own.get("warc-payload-digest") or digest(body)
     title = TITLE.search(page)
     fields = [("source-status", status), *((f"source-header-{k}", v) for k, v in http), ("source-block-digest", own.get("warc-block-digest") or digest(block)), ("source-payload-digest", payload)]
     fields += [("title", one_line(html.unescape(title[1])))] if title else []
-    fields += [("outlink", html.unescape(next(x for x in m if x))) for m in HREF.findall(page) if any(m)]
+    fields += [("outlink", x) for x in outlinks(page, source["uri"])]
     metadata = "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields).encode()
-    text = plain_text(page).encode()
+    made = [("metadata", metadata, "application/warc-fields")]
+    if is_text(http):
+        made.append(("conversion", plain_text(page).encode(), "text/plain; charset=utf-8"))
     out = []
-    for kind, data, content in (("metadata", metadata, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
+    for kind, data, content in made:
         link = [("WARC-Refers-To", source["record_id"]), ("WARC-Refers-To-Target-URI", source["uri"]), ("WARC-Refers-To-Date", source["date"])]
         rest = [("Content-Type", content), ("WARC-Block-Digest", digest(data)), ("WARC-Source-Payload-Digest", payload)]
         headers = [{"name": k, "value": v} for k, v in (*link, *rest) if v is not None]
@@ -103,10 +168,8 @@ def derive(records: DataFrame) -> DataFrame:
     """Derived records, in the columns of RECORD, of the responses among ``records``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                rows = [x for r in batch.slice(k, 256).to_pylist() for x in derived(r)]
-                yield pa.RecordBatch.from_pylist(rows, FIELDS)
+        for batch in parts(batches):
+            yield pa.RecordBatch.from_pylist([x for r in batch.to_pylist() for x in derived(r)], FIELDS)
 
     return records.filter("type = 'response'").select(*FIELDS.names).mapInArrow(run, RECORD)
 
@@ -116,7 +179,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for r in batch.to_pylist():
                 body = (r["html"] or "").encode()
@@ -131,9 +194,9 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 def serialised(record: dict) -> bytes:
     """A record in WARC/1.1, as a gzip member of its own."""
     block = record["block"] or b""
-    lines = ["WARC/1.1", f"WARC-Type: {record['type']}", f"WARC-Record-ID: {record['record_id']}"]
-    lines += [f"{k}: {v}" for k, v in (("WARC-Target-URI", record["uri"]), ("WARC-Date", record["date"])) if v is not None]
-    lines += [f"{h['name']}: {h['value']}" for h in record["headers"] or ()] + [f"Content-Length: {len(block)}"]
+    fields = [("WARC-Type", record["type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Target-URI", record["uri"]), ("WARC-Date", record["date"])]
+    fields += [(re.sub(r"[^!#-'*+.0-9A-Z^-z|~-]", "-", h["name"]), h["value"]) for h in record["headers"] or () if h and h["name"]]
+    lines = ["WARC/1.1", *(f"{k}: {CONTROL.sub(' ', v)}" for k, v in fields if v is not None), f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", mtime=0)
 
 
@@ -165,16 +228,20 @@ def parsed(stream) -> Iterator[dict]:
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
     """Writes a .warc.gz file for each partition to a folder that all executors share; file and number of records of each.
 
-    A file gets its name when it is complete, so that a task that is run again leaves no half of one.
+    A folder without a scheme is one of Spark's default file system. A file gets its name when it is complete, so that a
+    task that is run again leaves no half of one.
     """
+    sc = records.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        store, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, at = fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if re.match("file:/[^/]", folder) else folder)
         store.create_dir(at)
         name, n = f"{at}/part-{context.partitionId():06d}.warc.gz", 0
         with store.open_output_stream(f"{name}.{context.taskAttemptId()}", compression=None) as out:
-            for batch in batches:
+            for batch in parts(batches):
                 for r in batch.to_pylist():
                     out.write(serialised(r))
                     n += 1
@@ -184,25 +251,58 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     return records.select(*FIELDS.names).mapInArrow(run, "file string, records long")
 
 
+class Lines:
+    """A stream to read from, of the lines of one file as they come."""
+
+    def __init__(self, lines: Iterator[bytes]) -> None:
+        self.lines, self.held = lines, b""
+
+    def readline(self) -> bytes:
+        line, self.held = self.held or next(self.lines, b""), b""
+        return line
+
+    def read(self, n: int) -> bytes:
+        out, size = [], 0
+        while size < n and (line := self.readline()):
+            out.append(line[: n - size])
+            size += len(out[-1])
+            self.held = line[len(out[-1]) :]
+        return b"".join(out)
+
+
+def in_batches(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in records:
+        held.append(r)
+        size += len(r["block"])
+        if size > 8 << 20:
+            yield pa.RecordBatch.from_pylist(held, FIELDS)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, FIELDS)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, compressed or not, in the columns of RECORD. A file is read by one task."""
+    """Records of WARC files, .gz or plain ones (.warc), in the columns of RECORD. A file is read by one task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Compressed files, the usual form, stream through Spark's reader by lines, which are put together again; plain ones,
+    which that reader would split, are read whole.
+    """
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((f, x) for batch in batches for f, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for _, own in itertools.groupby(rows, lambda r: r[0]):
+            yield from in_batches(parsed(Lines(x + b"\n" for _, x in own)))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                raw = io.BytesIO(data.as_py())
-                zipped = raw.getvalue()[:2] == b"\x1f\x8b"
-                held, size = [], 0
-                for r in parsed(gzip.GzipFile(fileobj=raw) if zipped else raw):
-                    held.append(r)
-                    size += len(r["block"])
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(held, FIELDS)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, FIELDS)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+                yield from in_batches(parsed(io.BytesIO(data.as_py())))
+
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path)
+    zipped = lines.select(F.xxhash64(F.input_file_name()).alias("file"), F.col("value").cast("binary").alias("line")).mapInArrow(streamed, RECORD)
+    return zipped.union(plain.select("content").mapInArrow(whole, RECORD))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -435,6 +435,68 @@ def test_warc(spark, folder, tmp_path):
     assert count(map(str, back.collect())) == count(map(str, out.collect()))
 
 
+def one(block, uri="http://a/b/c", headers=()):
+    return {"record_id": "<urn:x>", "type": "response", "uri": uri, "date": None, "headers": list(headers), "block": block}
+
+
+def test_encoded_responses():
+    import gzip
+    import zlib
+
+    page = "<head><title>T</title></head><a href='../d?x=1&amp;y'>l</a><a href=//e/f>m</a><p>Grüße".encode()
+    raw = zlib.compressobj(wbits=-15)
+    for coding, body in (("gzip", gzip.compress(page)), ("deflate", zlib.compress(page)), ("deflate", raw.compress(page) + raw.flush()), ("identity", page), ("br", page)):
+        chunks = b"".join(b"%x;k=v\r\n%s\r\n" % (len(body[k : k + 9]), body[k : k + 9]) for k in range(0, len(body), 9)) + b"0\r\n\r\n"
+        for more, sent in ((b"", body), (b"Transfer-Encoding: chunked\r\n", chunks)):
+            metadata, text = warc.derived(one(b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: %s\r\n%s\r\n" % (coding.encode(), more) + sent))
+            assert text["block"].decode() == "lm\nGrüße"
+            fields = metadata["block"].decode().split("\r\n")
+            assert "outlink: http://a/d?x=1&y" in fields and "outlink: http://e/f" in fields and "title: T" in fields
+            assert f"source-payload-digest: {warc.digest(body)}" in fields
+    # what can't be undone stays; what is no text has no conversion
+    assert warc.derived(one(b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\nplain"))[1]["block"] == b"plain"
+    assert [r["type"] for r in warc.derived(one(b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG"))] == ["metadata"]
+
+
+def test_header_lines_stay_lines():
+    import gzip
+    import io
+
+    record = one(b"x", "http://a/\r\nWARC-Type: evil\r\n\r\n", [{"name": "A b\r\n", "value": "1\r\nC: 2"}])
+    (back,) = warc.parsed(io.BytesIO(gzip.decompress(warc.serialised(record))))
+    assert back["type"] == "response" and back["block"] == b"x" and [h["value"] for h in back["headers"]] == ["1 C: 2"]
+
+
+def test_files_stream_by_lines(spark, tmp_path):
+    import gzip
+
+    blocks = [b"", b"\n", b"\r\n\r\nWARC/1.1\r\n", bytes(range(256)) * 300, b"no end", "ü\n".encode() * 5000]
+    records = [{**one(b, f"http://h/{k}"), "record_id": f"<{k}>"} for k, b in enumerate(blocks)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(warc.serialised, records[:4])))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(warc.serialised, records[4:])))
+    (tmp_path / "c.warc").write_bytes(b"".join(gzip.decompress(warc.serialised(r)) for r in records))
+    back = warc.read_warc(spark, str(tmp_path)).collect()
+    assert count((r.uri, bytes(r.block)) for r in back) == count(2 * [(f"http://h/{k}", b) for k, b in enumerate(blocks)])
+
+
+def test_warc_query_by_brute_force(spark, folder):
+    """Digests and identifiers of every row, from the pages themselves."""
+    import base64
+    import uuid
+
+    sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    name = lambda kind, of: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{of}')}>"
+    want = []
+    for p in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        source = name("response", f"{p.page_id} {p.url}")
+        for kind in ("metadata", "conversion"):
+            want.append((name(kind, source), kind, p.url, source, sha((p.html or "").encode())))
+    rows = queries.QUERIES["op9_warc"](spark, folder).collect()
+    assert count((r.record_id, r.type, r.uri, r.refers_to, r.source_payload_digest) for r in rows) == count(want)
+    texts = {r.block_sha256: r.length for r in rows if r.type == "conversion"}
+    assert texts == {hashlib.sha256(t).hexdigest(): len(t) for t in (b"", b"Hi you\nthere")}
+
+
 def test_cut_off_warc():
     import gzip
     import io
