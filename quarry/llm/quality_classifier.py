@@ -8,8 +8,8 @@ The fit uses at most SAMPLE labelled documents, those of least hash of doc_id am
 their statistics come to the driver. Labels, language, source and doc_id are no inputs of a score.
 
 Null texts are empty and are scored as such. Labels that are null are passed over. Without labels of both kinds the score
-is the share of label 1, or 0.5 without any. Rows with a null doc_id aren't held out. Rows may repeat; an empty table
-gives an empty result. Nothing is shuffled but the labels.
+is the share of label 1, or 0.5 without any. Rows with a null doc_id aren't held out. Rows may repeat; texts of any length
+are read whole; extra columns are ignored; an empty table gives an empty result. Nothing is shuffled but the labels.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def featured(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns f_* that rules read."""
     text = F.coalesce(F.col("text"), F.lit(""))
     number = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    counted = statistics(docs).withColumns({"n_bars": number("|"), "n_shouts": number("!?"), "n_digits": number("0123456789"), "n_stops": number(".,;:")})
+    counted = statistics(docs).withColumn("n_shouts", number("!?"))
     return counted.withColumns({f"f_{k}": F.round(F.expr(x).cast("double"), 6) for k, x in FEATURES.items()})
 
 
@@ -154,9 +154,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Ensemble:
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.select("doc_id", F.col("quality").alias("_y")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(SAMPLE)
-    # at most SAMPLE rows
-    rows = featured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
-    data = np.array(sorted(tuple(r) for r in rows.select(*[f"f_{k}" for k in FEATURES], "_y").collect()), float).reshape(-1, len(FEATURES) + 1)
+    rows = featured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # ``sample`` has SAMPLE rows at most
+    # of documents that share a doc_id the one of least statistics, so that at most SAMPLE rows come to the driver
+    least = rows.groupBy("doc_id", "_y").agg(F.min(F.struct(*[f"f_{k}" for k in FEATURES])).alias("f"))
+    data = np.array(sorted(tuple(r) for r in least.select("f.*", "_y").collect()), float).reshape(-1, len(FEATURES) + 1)
     return Ensemble(data[:, :-1], data[:, -1])
 
 

@@ -2,11 +2,13 @@
 
 Each rule looks at one statistic of a text and votes good, bad, or abstains between its two limits. A rule is right with
 one probability on good and another on bad documents; expectation-maximisation over the counts of vote patterns (at most
-3 to the number of rules, whatever the input) estimates these and the share of good documents without any label. A
+3 to the number of rules, whatever the input) estimates these and the share of good documents without any label: rules
+that agree with each other come out as right, and one that stands alone in its vote for bad counts for little. A
 document is kept when the posterior probability of good is at least KEEP and the base test passes. The fit is over what
 the base test leaves, all of it: the rest is decided already and would draw the bad class to its own kind.
 
-A null text has no words. Texts without words get the votes of their statistics as zero. An empty table gives an empty
+A null text has no words; texts of any length are read whole. Texts without words get the votes of their statistics as
+zero. Rows are independent and may repeat; extra columns are ignored (``keep`` keeps them). An empty table gives an empty
 result. Nothing is shuffled but pattern counts; statistics are written once to the shared checkpoint folder, so that texts
 are read once.
 """
@@ -22,6 +24,8 @@ from .common import BLANKS, aside, documents, durable, let, words
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+#: Characters that are counted, by the statistic.
+COUNTED = {"n_symbols": SYMBOLS, "n_capitals": CAPITALS, "n_bars": "|", "n_digits": "0123456789", "n_stops": ".,;:"}
 KEEP = 0.5
 #: Rule: statistic, good up to, bad from. A rule abstains between the two.
 RULES = {
@@ -30,10 +34,13 @@ RULES = {
     "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.05, 0.5),
     "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.1, 0.3),
     "capitals": ("n_capitals / greatest(word_chars, 1)", 0.12, 0.25),
+    "noise": ("(n_symbols + n_digits) / greatest(word_chars, 1)", 0.06, 0.12),
+    "bars": ("n_bars / greatest(n_words, 1)", 0.02, 0.2),
+    "stops": ("abs(n_stops / greatest(n_words, 1) - 0.15)", 0.1, 0.25),
 }
-#: Each rule starts as right with these probabilities on good and on bad documents, and is drawn back to them with the weight of PULL times all documents.
-#: The first pull is strong: these rules are written to leave good text alone. The second is weak: how much bad text a rule sees is for the data to say.
-RIGHT, PULL, ROUNDS = (0.998, 0.3), (1.0, 0.01), 60
+#: Each rule starts as right with these probabilities on good and on bad documents, and is drawn back to them as by PULL
+#: times all documents: enough to tell the classes apart by name, and to say what rules are worth that the data never test.
+RIGHT, PULL, ROUNDS = (0.98, 0.3), 0.01, 60
 
 
 def repeated(w: Column) -> Column:
@@ -70,11 +77,10 @@ def statistics(docs: DataFrame) -> DataFrame:
         {
             "n_words": F.col("_words.n").cast("long"),
             "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.col("_lines.n") - F.col("_lines.distinct")).cast("long"),
             "n_repeat_words": F.col("_words.repeats").cast("long"),
             "n_lines": F.col("_lines.n").cast("long"),
-            "n_capitals": (F.length(text) - F.length(F.translate(text, CAPITALS, ""))).cast("long"),
+            **{name: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long") for name, chars in COUNTED.items()},
         }
     ).drop("_words", "_lines")
 
@@ -95,7 +101,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[t
         for j in range(len(RULES)):
             good = [(n * g, v[j] > 0) for v, n, g in good_of if v[j]]
             bad = [(n * (1 - g), v[j] < 0) for v, n, g in good_of if v[j]]
-            fit = [(math.fsum(w for w, ok in x if ok) + p * total * r) / (math.fsum(w for w, _ in x) + p * total) for x, p, r in zip((good, bad), PULL, RIGHT, strict=True)]
+            fit = [(math.fsum(w for w, ok in x if ok) + PULL * total * r) / (math.fsum(w for w, _ in x) + PULL * total) for x, r in zip((good, bad), RIGHT, strict=True)]
             # a vote for bad never speaks for good: without this, the two classes could change places
             found.append((min(max(fit[0], 1.001 - fit[1]), 1 - 1e-6), min(max(fit[1], 1e-3), 1 - 1e-6)))
         right = found

@@ -252,12 +252,45 @@ def test_quality_rules(spark, folder):
 
 
 def test_estimate_finds_the_classes():
-    clean, n = (1,) * 5, len(quality_rules.RULES)
-    bad = [tuple(-1 if i == j else 1 for i in range(n)) for j in range(n)]
-    share, right = quality_rules.estimate([(clean, 9000), *((b, 200) for b in bad)])
-    assert quality_rules.posterior(share, right, clean) > 0.6
-    assert all(quality_rules.posterior(share, right, b) < 0.3 for b in bad)
-    assert quality_rules.estimate([]) == (0.8, [quality_rules.RIGHT] * n)
+    """Votes drawn from known accuracies: the fit finds them, and with them the documents' kinds."""
+    rng, n = np.random.default_rng(7), 20_000
+    names = list(quality_rules.RULES)
+    good_right, bad_right = np.linspace(0.9, 0.995, len(names)), np.linspace(0.85, 0.3, len(names))
+    good = rng.random(n) < 0.9
+    right = rng.random((n, len(names))) < np.where(good[:, None], good_right, bad_right)
+    votes = np.where(rng.random(right.shape) < 0.1, 0, np.where(right == good[:, None], 1, -1))
+    share, found = quality_rules.estimate(sorted(count(map(tuple, votes.tolist())).items()))
+    assert abs(share - 0.9) < 0.02
+    assert np.abs(np.array([a for a, _ in found]) - good_right).max() < 0.02 and np.abs(np.array([b for _, b in found]) - bad_right).max() < 0.08
+    kept = np.array([quality_rules.posterior(share, found, tuple(v)) >= quality_rules.KEEP for v in votes.tolist()])
+    assert (kept == good).mean() > 0.97
+    assert quality_rules.estimate([]) == (0.8, [quality_rules.RIGHT] * len(names))
+
+
+def test_verdicts_by_brute_force(spark):
+    """Votes from the texts in plain Python, the fit over them, and each row's verdict; and agreement with labels."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    per = {}
+    for r in docs:
+        t, (n_words, chars, symbols, dup, inside) = r.text or "", brute_statistics(r.text)
+        own = {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": inside, "n_lines": sum(bool(WORD.search(x)) for x in t.split("\n"))}
+        own |= {name: sum(t.count(c) for c in chars) for name, chars in quality_rules.COUNTED.items()}
+        value = lambda e: eval(e, {"greatest": max, "abs": abs}, own)  # noqa: E731, S307
+        votes = tuple(1 if value(e) <= up else -1 if value(e) >= bad else 0 for e, up, bad in quality_rules.RULES.values())
+        per[r.doc_id] = votes, n_words < 50 or 100 * inside > 50 * n_words
+    share, right = quality_rules.estimate(sorted(count(v for v, failed in per.values() if not failed).items()))
+    for r in queries.QUERIES["op4_quality_rules"](spark, folder).collect():
+        votes, failed = per[r.doc_id]
+        p = quality_rules.posterior(share, right, votes)
+        assert r.base_failed == failed and r.kept == (not failed and p >= quality_rules.KEEP) and abs(r.quality - p) < 1e-6
+
+
+def test_verdicts_agree_with_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").selectExpr("doc_id", "quality = 1 AS label")
+    rows = queries.QUERIES["op4_quality_rules"](spark, folder).join(labels, "doc_id").filter("not base_failed").collect()
+    assert sum(r.kept == r.label for r in rows) >= 0.97 * len(rows) > 100
 
 
 def test_quality_keeps_columns(spark, docs):
