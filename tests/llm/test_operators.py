@@ -381,6 +381,62 @@ def test_mixing(spark, folder):
     assert count(map(tuple, rows)) == count(map(tuple, queries.QUERIES["op6_mixing"](spark, folder).collect()))
 
 
+def brute_mix(rows, seed_of):
+    """taken and first slot by document, from rows (doc_id, source key, size), slot by slot."""
+    by = collections.defaultdict(list)
+    for d, s, n in rows:
+        by[s].append((seed_of[d], d, n))
+    sizes = {s: sum(n for *_, n in x) for s, x in by.items()}
+    goals = mixing.targets(sizes)
+    block = max(1, min(mixing.LONGEST, int(mixing.SHARE * sum(sizes.values())) // mixing.BLOCKS))
+    words = {s: [d for _, d, n in sorted(x) for _ in range(n)] * 2 for s, x in by.items()}
+    total, done = sum(goals.values()), collections.Counter()
+    bounds, at = [], 0
+    for s in sorted(goals):
+        at += goals[s]
+        bounds.append((float(at / total), s))
+    taken, first = collections.Counter(), {}
+    for slot in range(round(total / block)):
+        point = slot * mixing.GOLDEN % mixing.POINTS / mixing.POINTS
+        s = next((s for b, s in bounds if point < b), bounds[-1][1])
+        for d in words[s][done[s] * block : (done[s] + 1) * block]:
+            taken[d] += 1
+            first.setdefault(d, slot)
+        done[s] += 1
+    return taken, first
+
+
+@pytest.mark.parametrize("blocks", [64, 2**18])
+def test_mix_by_brute_force(spark, monkeypatch, blocks):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "BLOCKS", blocks)
+    rng = random.Random(12)
+    data = [(i, rng.choice(["a", "a", "a", "b", None]), " ".join(["w"] * rng.choice([0, 1, 3, 40]))) for i in range(120)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string").repartition(3)
+    seeds = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(29), mixing.source_key(F.col("source")).alias("s"), "doc_id").alias("h")).collect()}
+    unsigned = {d: h % 2**64 >> 52 for d, h in seeds.items()}  # slices go by the unsigned hash, and within one by the signed
+    order = {d: (unsigned[d], seeds[d]) for d in seeds}
+    taken, first = brute_mix([(d, "1" if s is None else "0" + s, len(t.split())) for d, s, t in data], order)
+    rows = mixing.Mix(df, ["doc_id"]).taken().collect()
+    assert {r.doc_id: r.taken for r in rows} == {d: taken[d] for d, *_ in data}
+    assert {r.doc_id: r.first_slot for r in rows} == {d: first.get(d) for d, *_ in data}
+
+
+def test_mixed_rows_are_in_the_order_of_slots(spark):
+    """Every stretch of the mix has the weights, and a cut text keeps its lines."""
+    data = [(i, "ab"[i % 2], "\n".join(f"d{i} w{k}  x" for k in range(20))) for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    rows = [(r.source, r.text) for r in mixing.mixed(df).collect()]
+    whole = {t for *_, t in data}
+    cut = [t for _, t in rows if t not in whole]
+    assert len(cut) <= 2 and all(any(w.startswith(t) or t in w for w in whole) for t in cut)
+    n = collections.Counter(s for s, _ in rows)
+    for k in range(0, len(rows) - 60, 30):
+        part = collections.Counter(s for s, _ in rows[k : k + 60])
+        assert abs(part["a"] - 60 * n["a"] / len(rows)) <= 4
+
+
 def test_mixed_documents(spark, docs):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
