@@ -8,11 +8,14 @@ hashes agree in four bits with chance 1/16, so the likeness is (agreeing bins /
 
 A text without words, or null, has the empty fingerprint: likeness 1 to another empty one, 0 to others. The next document
 by ascending doc_id (null first, equal ids by text, bytewise) follows the last one round to the first; a single document
-is its own next. An empty table gives an empty result.
-
-Texts are shuffled once, by stretches of doc_id of about STRETCH documents, and sorted within these. The first document
-of a stretch goes to the stretch before as well, so that every document finds its successor beside it. doc_ids are taken
-to be spread over their range without long gaps between dense runs, which would make stretches uneven but not wrong.
+is its own next. Texts of any length are taken whole, rows may repeat, extra columns are ignored; an empty table gives an
+empty result.
+
+Texts are shuffled once, by stretches of doc_id of about STRETCH documents, and sorted within these. Stretches are equal
+parts of the range of ids; one that comes out too full, where ids are dense between gaps, is cut into equal parts of its
+own range, and so on. Rows that share one id (or have none) are one stretch or, if they are too many, several, by the first
+two bytes of their texts. The first document of a stretch goes to the stretch before as well, so that every document finds
+its successor beside it.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, let, words
+from .common import documents, durable, let, words
 
 BINS, BITS, SHINGLE, PROBES = 256, 4, 5, 12
 PER_LONG = 64 // BITS
 CHANCE = 2.0**-BITS
 STRETCH, MOST_STRETCHES = 512, 1_000_000
+#: A stretch is cut again if it has so many times the rows that it should have.
+TOO_FULL = 8
 
 
 def sequence_of(i: int) -> list[int]:
@@ -110,22 +115,60 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both, 1.0).when(one, 0.0).otherwise(F.greatest(F.lit(0.0), (agree - CHANCE) / (1 - CHANCE)))
 
 
+def stretched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``_s``, their stretch, and a table of all stretches (two MOST_STRETCHES at most) with what names their first row.
+
+    Stretches are arrays and sort as their rows do: first whether there is an id, then the part at each cut.
+    """
+    size, number = max(STRETCH, docs.count() // MOST_STRETCHES), F.col("doc_id").cast("decimal(20,0)")
+    cuts: list[DataFrame] = []
+
+    def within(rows: DataFrame, cut: DataFrame, part: Column) -> DataFrame:
+        rows = rows.join(F.broadcast(cut), "_s", "left").withColumn("_part", part)
+        return rows.withColumn("_s", F.when(F.col("_part").isNull(), F.col("_s")).otherwise(F.concat("_s", F.array("_part")))).drop("_part", *[c for c in cut.columns if c != "_s"])
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_s", F.array(F.col("doc_id").isNotNull().cast("long")))
+        for cut in cuts:
+            rows = within(rows, cut, F.floor((number - F.col("_low")) / F.col("_width")).cast("long"))
+        return rows
+
+    while True:
+        found = placed(docs.select("doc_id")).groupBy("_s").agg(F.count(F.lit(1)).alias("_n"), F.min(number).alias("_low"), F.max(number).alias("_high"), F.min("doc_id").alias("_first"))
+        found = durable(found.withColumn("_parts", F.ceil(F.col("_n") / size)))
+        full = found.filter(F.col("_n") > TOO_FULL * size)
+        cut = full.filter("_low < _high").select("_s", "_low", F.ceil((F.col("_high") - F.col("_low") + 1) / F.col("_parts")).alias("_width"))
+        if cut.isEmpty():
+            break
+        cuts.append(cut)
+    firsts = found.select("_s", key_of(F.col("_first")).alias("_key"), F.lit(None).cast("long").alias("_hash"))
+    out = placed(docs)
+    if not full.isEmpty():  # what is too full now has one id, or none
+        alone = full.select("_s", F.least("_parts", F.lit(65536)).alias("_cells"))
+        leading = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 2)), 4, "0"), 16, 10).cast("long")
+        part = F.floor(leading * F.col("_cells") / 65536).cast("long")
+        by_text = within(placed(docs.select("doc_id", "text")).join(F.broadcast(alone.select("_s")), "_s", "left_semi"), alone, part)
+        by_text = by_text.groupBy("_s").agg(key_of(F.min("doc_id")).alias("_key"), F.min_by(F.xxhash64("text"), "text").alias("_hash"))
+        firsts, out = durable(firsts.join(alone, "_s", "left_anti").unionByName(by_text)), within(out, alone, part)
+    return out, firsts
+
+
+def key_of(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
 def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``docs`` with ``next``, a struct of the ``carry`` columns of the document that follows by doc_id."""
-    ids = docs.select("doc_id")
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    stretches = max(1, min(MOST_STRETCHES, n // STRETCH))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // stretches))
-    stretch = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.floor((F.col("doc_id").cast("decimal(20,0)") - (low or 0)) / width).cast("long"))
-    # at most MOST_STRETCHES + 1 rows, whatever the input, in this table of the first id of each stretch
-    firsts = ids.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_first"), stretch.alias("_s")).groupBy("_s").agg(F.min("_first").alias("_first"))
+    rows, firsts = stretched(docs)
     at = Window.orderBy("_s")
-    firsts = firsts.select("_first", F.coalesce(F.lag("_s").over(at), F.max("_s").over(Window.partitionBy())).alias("_before"))
+    firsts = firsts.withColumn("_before", F.coalesce(F.lag("_s").over(at), F.max("_s").over(Window.partitionBy())))
+    by_key = firsts.filter("_hash is null").select("_key", F.col("_before").alias("_after_key"))
+    by_text = firsts.filter("_hash is not null").select("_key", "_hash", F.col("_before").alias("_after_text"))
     sent = (
-        docs.withColumn("_first", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-        .join(F.broadcast(firsts), "_first", "left")
-        .withColumn("_own", stretch)
-        .withColumn("_to", F.explode(F.expr("filter(array(struct(_own as s, false as copy), struct(_before as s, true as copy)), x -> x.s is not null)")))
+        rows.withColumns({"_key": key_of(F.col("doc_id")), "_hash": F.xxhash64("text")})
+        .join(F.broadcast(by_key), "_key", "left")
+        .join(F.broadcast(by_text), ["_key", "_hash"], "left")
+        .withColumn("_to", F.explode(F.expr("filter(array(struct(_s as s, false as copy), struct(coalesce(_after_key, _after_text) as s, true as copy)), x -> x.s is not null)")))
         .select(*docs.columns, F.col("_to.s").alias("_s"), F.col("_to.copy").alias("_copy"))
     )
     order = Window.partitionBy("_s").orderBy("_copy", F.col("doc_id").asc_nulls_first(), "text")

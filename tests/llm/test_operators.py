@@ -487,6 +487,74 @@ def test_fingerprints(spark, folder):
     assert all(len(p) == 256 for k in (1, 9, 11, 12) for p in prints[k])
 
 
+IDS = {
+    "even": list(range(300)),
+    "far": [*range(200), 2**62, -(2**63), 2**63 - 1],
+    "dense": [2**k + j for k in range(0, 60, 6) for j in range(30)],
+    "one": [7] * 150 + [None] * 150 + list(range(5)),
+}
+
+
+@pytest.mark.parametrize("kind", IDS)
+def test_next_of_clustered_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "STRETCH", 4)
+    monkeypatch.setattr(fingerprints, "TOO_FULL", 2)
+    rng = random.Random(13)
+    data = [(d, "".join(rng.choice("abcü\x00zé") for _ in range(rng.randint(0, 4)))) for d in IDS[kind]]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    order = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    want = count((*x, y[1]) for x, y in zip(order, order[1:] + order[:1], strict=True))
+    assert count((r.doc_id, r.text, r.next.text) for r in fingerprints.with_next(df, ["text"]).collect()) == want
+    placed, _ = fingerprints.stretched(df)
+    most = max(r["count"] for r in placed.groupBy("_s").count().collect())
+    # rows of one id are cut by the first two bytes of their texts, and a third of these begin with the same byte
+    assert most <= (60 if kind == "one" else 8), most
+
+
+def brute_fingerprint(spark, text):
+    """Bins by hand, from the shingles' hashes as Spark gives them."""
+    from pyspark.sql import functions as F
+
+    hashes = spark.createDataFrame([(text,)], "t string").select(fingerprints.shingle_hashes(F.col("t")).alias("h")).first().h
+    least = {}
+    for h in hashes:
+        b = (h % 2**64) >> 56
+        least[b] = min(h, least.get(b, h))
+
+    def value(b):
+        if b in least:
+            return least[b]
+        for j in range(fingerprints.PROBES):
+            other = hashlib.sha256(b"%d:%d" % (b, j)).digest()[0]
+            if other in least:
+                return least[other]
+        return None
+
+    # bins in the order of signed longs; None where the sequence meets no full bin and the operator falls back on a rank
+    return [v if v is None else f"{v & 15:X}" for v in (value((b + 128) % 256) for b in range(256))]
+
+
+def test_fingerprint_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng, texts = random.Random(14), []
+    for n in (3, 5, 60, 400, 3000):
+        texts += [" ".join(f"t{rng.randrange(10**6)}" for _ in range(n)) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = fingerprints.fingerprint(df).select("text", "fingerprint").collect()
+    met = 0
+    for r in rows:
+        want = brute_fingerprint(spark, r.text)
+        met += sum(w is not None for w in want)
+        assert len(r.fingerprint) == 256 and all(w in (None, c) for w, c in zip(want, r.fingerprint, strict=True))
+    assert met > 0.55 * 256 * len(rows)
+    a, b = (fingerprints.fingerprint(df).filter(F.col("doc_id") == k) for k in (12, 13))
+    x, y = a.first(), b.first()
+    near = a.select(fingerprints.likeness(F.col("packed"), F.array(*[F.lit(v) for v in y.packed])).alias("n")).first().n
+    agree = sum(p == q for p, q in zip(x.fingerprint, y.fingerprint, strict=True)) / 256
+    assert abs(near - max(0, (agree - 1 / 16) / (15 / 16))) < 1e-9
+
+
 def test_likeness_is_unbiased(spark):
     from pyspark.sql import functions as F
 
