@@ -95,19 +95,56 @@ class Statements:
         self.held.pop(name, None)
 
 
-def operation_of(sql: str) -> str:
-    word = re.match(r"\s*(?:--[^\n]*\n\s*)*\(?\s*(\w+)", sql)
-    first = word[1].lower() if word else ""
-    return {"with": "select", "select": "select", "insert": "insert", "update": "update", "merge": "update", "delete": "delete"}.get(first, "ddl")
+#: What each statement that changes rows is, by the node of Spark's parsed plan, and the method that gives its target.
+CHANGES = {"InsertIntoStatement": ("insert", "table"), "UpdateTable": ("update", "table"), "DeleteFromTable": ("delete", "table"), "MergeIntoTable": ("update", "targetTable")}
+#: Nodes that do more than read. Everything that is one of these, and no change of rows, counts as DDL.
+ACTS = ("Command", "ParsedStatement", "CompoundPlanStatement", "InsertIntoDir")
+
+
+def targets(spark: SparkSession, sql: str) -> list[tuple[str, str | None]]:
+    """What a statement does to which table, from Spark's own parser: pairs of operation and target, none for a mere read."""
+    jvm, found = spark.sparkContext._jvm, []
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    acts = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{name}", False, loader) for name in ACTS]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(positional(sql)[0])]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name in CHANGES:
+            operation, method = CHANGES[name]
+            found.append((operation, table_name(getattr(node, method)())))
+        elif any(c.isInstance(node) for c in acts):
+            found.append(("ddl", None))
+        children = node.children().iterator()
+        while children.hasNext():
+            todo.append(children.next())
+    return found
+
+
+def table_name(node) -> str | None:
+    """The name of a table as a statement has it, in small letters; null if it isn't a plain name."""
+    while node.getClass().getSimpleName() == "SubqueryAlias":
+        node = node.child()
+    return node.multipartIdentifier().mkString(".").lower() if node.getClass().getSimpleName() == "UnresolvedRelation" else None
+
+
+def operation_of(spark: SparkSession, sql: str) -> str:
+    """select, insert, update, delete or ddl; of several, the first that isn't a read."""
+    return next((operation for operation, _ in targets(spark, sql)), "select")
 
 
 def execute_as(spark: SparkSession, session: security.UserSession, sql: str, params: Sequence[Value] = (), table: str | None = None) -> DataFrame:
-    """Runs a statement if the session may; the table counts in both the decision and the log."""
-    operation = operation_of(sql)
-    if not security.has_permission(session, operation, table):
-        log.warning("%s may not %s %s", session.username, operation, table)
-        raise PermissionError(f"{session.username} may not {operation} {table or ''}".rstrip())
-    log.info("%s starts %s", session.username, operation)
+    """Runs a statement if the session may do all that it does, by its parsed form; ``table`` only names a read in the log."""
+    for operation, target in targets(spark, sql) or [("select", table)]:
+        if not security.has_permission(session, operation, target):
+            log.warning("%s may not %s %s", session.username, operation, target)
+            raise PermissionError(f"{session.username} may not {operation} {target or ''}".rstrip())
+        log.info("%s starts %s %s", session.username, operation, target)
     out = execute(spark, sql, params)
     session.operations_count += 1
     return out
+
+
+def printed(df: DataFrame, rows: int = 20) -> str:
+    """The first rows of a result as a table of text."""
+    return df._jdf.showString(rows, 0, False)

@@ -6,11 +6,12 @@ Plain Parquet has no row-level changes, so each operation gives the changed rela
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 
 def upserted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """ON CONFLICT DO UPDATE: the source's row where it has the key, else the target's. Source keys must be distinct.
@@ -41,15 +42,18 @@ def inserted(target: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
-    """A serial column in the order given. Positions come from range partitions and their sizes, not from one task."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id() % (1 << 33))
-    sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p] = total
-        total += sizes[p]
-    offset = reduce(lambda a, p: a.when(F.col("_p") == p, before[p]), before, F.when(F.lit(False), 0)) if before else F.lit(0)
-    return ranged.withColumn(name, F.col("_k") + offset + start).drop("_p", "_k")
+    """A serial column in the order given. Positions come from range partitions and their sizes, not from one task.
+
+    The ranged rows are written to the checkpoint folder first: ranges are sampled, and another run might cut them
+    elsewhere, so that counts and rows must come from one run.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = durable(ranged.select("*", F.spark_partition_id().alias("_serial_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_serial_place")))
+    earlier = Window.orderBy("_serial_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_serial_part").agg(F.count(F.lit(1)).alias("_serial_rows"))  # a row for each partition
+    before = sizes.select("_serial_part", F.coalesce(F.sum("_serial_rows").over(earlier), F.lit(0)).alias("_serial_before"))
+    placed = ranged.join(F.broadcast(before), "_serial_part")
+    return placed.select(*[F.col(c) for c in df.columns], (F.col("_serial_place") + F.col("_serial_before") + start).alias(name))
 
 
 def last_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -58,19 +62,29 @@ def last_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def create_table(spark: SparkSession, name: str, schema: str, key: str | None = None, buckets: int = 8) -> None:
+def create_table(spark: SparkSession, name: str, schema: str, key: str | None = None, buckets: int = 8, path: str | None = None) -> None:
     """CREATE TABLE IF NOT EXISTS; where an index would stand, the table is bucketed and sorted by its key."""
     layout = f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS" if key else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{layout}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{layout}" + (f" LOCATION '{path}'" if path else ""))
 
 
-def write_sorted(df: DataFrame, name: str, key: str, buckets: int = 8) -> None:
+def write_sorted(df: DataFrame, name: str, key: str, buckets: int = 8, path: str | None = None) -> None:
     """INSERT … SELECT … ORDER BY key: rewrites a table so that joins on its key need no shuffle."""
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").format("parquet").saveAsTable(name)
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def insert_joined(spark: SparkSession, name: str, joined: DataFrame) -> None:
+    """INSERT INTO … SELECT … JOIN …: the rows of a join, by column name, into a table that is there."""
+    joined.select(*spark.table(name).columns).write.mode("append").insertInto(name)
 
 
 def truncate(spark: SparkSession, name: str) -> None:
-    spark.sql(f"TRUNCATE TABLE {name}")
+    """DELETE without WHERE; Spark truncates managed tables only, so one whose files are elsewhere is overwritten with no rows."""
+    if spark.catalog.getTable(name).tableType == "MANAGED":
+        spark.sql(f"TRUNCATE TABLE {name}")
+    else:
+        spark.createDataFrame([], spark.table(name).schema).write.mode("overwrite").insertInto(name)
 
 
 def create_view(df: DataFrame, name: str) -> None:
@@ -81,11 +95,12 @@ def drop_view(spark: SparkSession, name: str) -> bool:
     return spark.catalog.dropTempView(name)
 
 
-def materialise(spark: SparkSession, view: str) -> str:
+def materialise(spark: SparkSession, view: str, path: str | None = None) -> str:
     """Table ``<view>_materialized`` with the view's rows as they are now; left alone if it is there already."""
     name = f"{view}_materialized"
     if not spark.catalog.tableExists(name):
-        spark.table(view).write.format("parquet").saveAsTable(name)
+        writer = spark.table(view).write.format("parquet")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
     return name
 
 

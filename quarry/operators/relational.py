@@ -6,7 +6,7 @@ Columns follow the register: students (student_id, last_name, first_name, patron
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Groups of third-year students: letters, a dash, a 3 and a digit. The first letter of the class is the Latin A, as published.
@@ -32,6 +32,16 @@ def roles(*parts: tuple[DataFrame, Column, str], top: int = 20) -> DataFrame:
     return first.orderBy("role", "name").limit(top)
 
 
+def with_group_mean(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``df`` with the mean of its group, as AVG OVER (PARTITION BY key) has it.
+
+    Means are made with partial sums and joined back, so that a group with most of the rows is never in one task; the
+    means of few groups go to all tasks by the optimizer's own choice.
+    """
+    means = df.groupBy(F.col(key).alias("_group")).agg(F.avg(value).alias(name))
+    return df.join(means, F.col(key).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def field_averages(students: DataFrame, comprehensions: DataFrame, fields: DataFrame, least: float = 3.5, groups: str = THIRD_YEAR, top: int = 10) -> DataFrame:
     """Students with the mean mark of each of their fields, over all of the chosen groups, where it is above ``least``."""
     marks = (
@@ -40,8 +50,7 @@ def field_averages(students: DataFrame, comprehensions: DataFrame, fields: DataF
         .join(fields, F.col("field") == F.col("field_id"))
         .select("student_id", full_name().alias("student"), "field_name", "mark")
     )
-    mean = F.avg("mark").over(Window.partitionBy("field_name"))
-    return marks.withColumn("average", mean).filter(F.col("average") > least).withColumn("average", F.round(F.col("average").cast("decimal(38,10)"), 2)).orderBy(F.desc("average"), "student", "field_name").limit(top).select("field_name", "student", "average")
+    return with_group_mean(marks, "field_name", "mark", "average").filter(F.col("average") > least).withColumn("average", F.round(F.col("average").cast("decimal(38,10)"), 2)).orderBy(F.desc("average"), "student", "field_name").limit(top).select("field_name", "student", "average")
 
 
 def professor_averages(professors: DataFrame, professor_fields: DataFrame, fields: DataFrame, comprehensions: DataFrame, last_name: str, top: int = 20) -> DataFrame:
@@ -56,6 +65,23 @@ def best_students(students: DataFrame, comprehensions: DataFrame, least: float =
     return grouped.filter(F.col("_mean") >= least).select("student_id", F.round(F.col("_mean").cast("decimal(38,10)"), 2).alias("average"), "marks")
 
 
+def best_with_groups(students: DataFrame, groups: DataFrame, comprehensions: DataFrame, least: float = 4.0) -> DataFrame:
+    """The same with name and group, of students whose group is in the table of groups (JOIN-10)."""
+    marks = comprehensions.filter("mark is not null").groupBy("student_id").agg(F.avg("mark").alias("_mean"), F.count("mark").alias("marks_count")).filter(F.col("_mean") >= least)
+    found = students.join(groups.select("students_group_number"), "students_group_number").join(marks, "student_id")
+    return found.select("student_id", full_name().alias("full_name"), "students_group_number", F.round(F.col("_mean").cast("decimal(38,10)"), 2).alias("average_mark"), "marks_count")
+
+
+def text_table(df: DataFrame, between: str = " | ") -> DataFrame:
+    """The rows as lines of text, all columns as wide as their widest value, and a line of names (SNK-19)."""
+    texts = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    widest = texts.agg(*[F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(c) for c in df.columns])
+    width = {c: widest.select(F.col(c)).scalar() for c in df.columns}
+    line = lambda of: F.concat_ws(between, *[F.rpad(of(c), width[c], F.lit(" ")) for c in df.columns])
+    head = widest.select(F.lit(True).alias("head"), line(F.lit).alias("line"))
+    return head.unionAll(texts.select(F.lit(False), line(F.col)))
+
+
 def without_marks(students: DataFrame, comprehensions: DataFrame, top: int = 15) -> DataFrame:
     """Students that no comprehension names."""
     return students.join(comprehensions, "student_id", "left_anti").orderBy("last_name", "student_id").limit(top)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as B
 from ..functions.codecs import decode_column, encode_column, prefix
+from ..session import checkpoint_dir
 from ..sources import archive
 from ..sources.tables import spread, table
 from .registry import query
@@ -20,8 +21,7 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quarry"
-    return f"{base}/archive-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}"
 
 
 def round_trip(name: str, secondary: str = "none"):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..operators import dml, joins, relational
 from ..sources.tables import table, views
 from .registry import query
@@ -45,7 +46,7 @@ def bucket_join_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bucket_join_hash", JOIN_SQL)
 def bucket_join_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.bucket_join(*sides(spark, sf_dir), strategy="hash", partitions=8)
+    return joins.bucket_join(*sides(spark, sf_dir), strategy="hash")
 
 
 @query("bucket_join_sql", JOIN_SQL)
@@ -90,7 +91,7 @@ SELECT n_name, c_name, round(mean, 4) AS average FROM a WHERE mean > 0 ORDER BY
 )
 def window_avg_filter_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = table(spark, sf_dir, "customer").filter(F.col("c_acctbal").isNotNull() & F.col("c_mktsegment").rlike("^[A-Z]+$")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    mean = both.select("n_name", "c_name", F.avg("c_acctbal").over(Window.partitionBy("n_name")).alias("mean"))
+    mean = relational.with_group_mean(both.select("n_name", "c_name", "c_acctbal"), "n_name", "c_acctbal", "mean")
     return mean.filter("mean > 0").orderBy(F.desc("mean"), "c_name").limit(10).select("n_name", "c_name", F.round("mean", 4).alias("average"))
 
 
@@ -142,13 +143,14 @@ def anti_join_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("search_like_params", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_name LIKE '%7%' AND c_mktsegment LIKE 'B%'")
 def search_like_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer")
-    return spark.sql("SELECT c_custkey, c_name, c_mktsegment FROM {t} WHERE c_name LIKE :name AND c_mktsegment LIKE :segment", args={"name": "%7%", "segment": "B%"}, t=customers)
+    views(spark, sf_dir, "customer")
+    return api.execute(spark, "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_name LIKE $1 AND c_mktsegment LIKE $2", ["%7%", "B%"])
 
 
 @query("equality_params", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7")
 def equality_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("SELECT o_orderkey, o_totalprice FROM {t} WHERE o_orderstatus = :status AND o_custkey = :customer", args={"status": "F", "customer": 7}, t=table(spark, sf_dir, "orders"))
+    views(spark, sf_dir, "orders")
+    return api.execute(spark, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = $1 AND o_custkey = $2", ["F", "7"], infer=True)
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "quarry", **conf: str) -> SparkSession:
@@ -25,3 +27,23 @@ def workers(asked: object, cores: int) -> int:
     except ValueError:
         return 1
     return min(n, 2 * cores) if n > 0 else 1
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as ``spark.checkpoint.dir`` names it; one of this machine only in local mode, as in tests."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that all executors share, with its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint()

@@ -434,3 +434,60 @@ def test_division_of_every_row(spark, tmp_path):
 
     spark.createDataFrame([(1, k, 7) for k in range(1, 6)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert rows(QUERIES["div_mod_all"](spark, str(tmp_path)).drop("l_orderkey")) == [(1, 3, -1, 0, 2**32 - 7), (2, 7, 0, 0, 2**32 - 7), (3, None, None, None, None), (4, -7, 0, 2**32 - 7, 0), (5, -3, -1, 2**31 - 4, 1)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("payload", [False, True])
+def test_serial_numbers_of_many_rows(spark, adaptive, payload):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 1_000_000
+        df = spark.range(n).select(F.xxhash64("id").alias("k"), *([F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("p")] if payload else []))
+        out = dml.numbered(df, ["k"], "n")
+        assert out.columns == [*df.columns, "n"]
+        row = out.agg(F.count_distinct("n").alias("d"), F.min("n").alias("a"), F.max("n").alias("b")).first()
+        assert (row.d, row.a, row.b) == (n, 1, n)
+        # the numbers follow the order of the keys
+        assert out.filter("n % 1000 = 0").orderBy("n").select("k").collect() == sorted(out.filter("n % 1000 = 0").select("k").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_statements_are_judged_by_what_they_do(spark):
+    spark.range(3).selectExpr("id AS a").createOrReplaceTempView("students")
+    junior, user = security.UserSession("j", "junior", True), security.UserSession("u", "user", True)
+    for sql in ("WITH x AS (SELECT 1 a) INSERT INTO students SELECT * FROM x", "FROM students INSERT INTO copies SELECT a", "/* SELECT */ DELETE FROM students", "-- x\nUPDATE students SET a = 1", "EXPLAIN DELETE FROM students", "SET spark.x = 1", "BEGIN DELETE FROM students; END"):
+        for who in (junior, user):
+            with pytest.raises(PermissionError):
+                api.execute_as(spark, who, sql, table="field_comprehensions")
+    # what the caller says of the table counts for nothing
+    with pytest.raises(PermissionError):
+        api.execute_as(spark, user, "DELETE FROM other.field_comprehensions", table="field_comprehensions")
+    assert api.targets(spark, "DELETE FROM Field_Comprehensions AS f WHERE f.a = $1") == [("delete", "field_comprehensions")]
+    assert api.execute_as(spark, junior, "WITH x AS (SELECT a FROM students WHERE a > $1) SELECT count(*) AS n FROM x", [0]).first().n == 2
+    assert junior.operations_count == 1 and user.operations_count == 0
+
+
+def test_authentication(spark):
+    rows = [("ann", "s1", security.password_digest("s1", "pw"), False), ("junior_bob", "s2", security.password_digest("s2", "x"), False), ("root", "s3", security.password_digest("s3", "y"), True), ("the_admin", "s4", security.password_digest("s4", "z"), None)]
+    accounts = spark.createDataFrame(rows, "username string, salt string, digest string, is_super boolean")
+    students = spark.createDataFrame([(5, "ann"), (6, "junior_bob"), (7, "root")], "student_id int, last_name string")
+    ann = security.authenticate(accounts, students, "ann", "pw")
+    assert (ann.role, ann.is_authenticated, ann.student_id) == ("user", True, 5)
+    assert security.authenticate(accounts, students, "junior_bob", "x").role == "junior"
+    root = security.authenticate(accounts, students, "root", "y")
+    assert (root.role, root.student_id) == ("admin", None) and security.authenticate(accounts, students, "the_admin", "z").role == "admin"
+    for name, password in (("ann", "PW"), ("nobody", "pw"), ("ann' OR '1'='1", "pw")):
+        wrong = security.authenticate(accounts, students, name, password)
+        assert not wrong.is_authenticated and not security.has_permission(wrong, "select")
+
+
+def test_means_of_groups_keep_null_keys(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), ("b", None)], "k string, v double")
+    assert rows(relational.with_group_mean(df, "k", "v", "m").select("k", "m")) == rows(spark.createDataFrame([("a", 2.0), ("a", 2.0), (None, 5.0), ("b", None)], "k string, m double"))
+
+
+def test_text_table_of_no_rows(spark):
+    assert relational.text_table(spark.createDataFrame([], "ab string, c int")).collect() == [(True, "ab | c")]
+    assert api.printed(spark.range(1, 2).toDF("no")) == "+---+\n|no |\n+---+\n|1  |\n+---+\n"
