@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint_dir, durable
+
+__all__ = ["checkpoint_dir", "durable"]
 #: Words are runs of anything but these six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,23 +25,6 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, with its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="quarry-checkpoint-")
-
-
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in parts of a few rows, so that what is made of texts at once stays small."""
     for batch in batches:

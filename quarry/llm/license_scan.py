@@ -279,7 +279,7 @@ def model() -> Model:
     return Model()
 
 
-def wrapped_finds(part: np.ndarray, starts: np.ndarray, own: np.ndarray) -> list[tuple[float, int, int, int, float]]:
+def wrapped_finds(models: Model, part: np.ndarray, starts: np.ndarray, own: np.ndarray) -> list[tuple[float, int, int, int, float]]:
     """Cover, first and last line, class and probability of the notices that are wrapped over lines. ``own``: offsets of the texts."""
     hashes, before = word_hashes(bare(part, starts), np.append(starts, len(part)))
     n_words = np.diff(before)
@@ -287,10 +287,10 @@ def wrapped_finds(part: np.ndarray, starts: np.ndarray, own: np.ndarray) -> list
     new = np.isin(starts, own) | (n_words == 0)
     block = np.cumsum(new)[line]
     out = []
-    for a, b in model().wrapped(hashes, line, block):
+    for a, b in models.wrapped(hashes, line, block):
         words = hashes[a:b]
-        for _, k, p in model().classify(words, np.zeros(len(words), np.int64), 1):
-            if (cover := model().cover(k, words)) >= SHARE:
+        for _, k, p in models.classify(words, np.zeros(len(words), np.int64), 1):
+            if (cover := models.cover(k, words)) >= SHARE:
                 out.append((cover, int(line[a]), int(line[b - 1]), k, p))
     return out
 
@@ -307,8 +307,9 @@ def settled(finds: list[tuple[float, int, int, int, float]]) -> list[tuple[float
     return sorted(out, key=lambda f: f[1])
 
 
-def scan_texts(texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, str, float]]]]:
+def scan_texts(texts: pa.Array, models: Model | None = None) -> Iterator[tuple[int, list[tuple[int, int, str, float]]]]:
     """Number of paragraphs of each text, and start, end (code points), family and probability of its licence paragraphs."""
+    models = models or model()
     strings = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
     if not len(strings):
         return
@@ -324,10 +325,10 @@ def scan_texts(texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, str,
         hashes, before = word_hashes(part, np.append(starts, len(part)))
         line = np.repeat(np.arange(len(starts)), np.diff(before))
         finds = []  # cover, first and last line, class and probability
-        for x, k, p in model().classify(hashes, line, len(starts)):
-            if (cover := model().cover(k, hashes[before[x] : before[x + 1]])) >= SHARE:
+        for x, k, p in models.classify(hashes, line, len(starts)):
+            if (cover := models.cover(k, hashes[before[x] : before[x + 1]])) >= SHARE:
                 finds.append((cover, x, x, k, p))
-        finds = settled(finds + wrapped_finds(part, starts, own))
+        finds = settled(finds + wrapped_finds(models, part, starts, own))
         found: dict[int, list] = {}
         for _, x, y, k, p in finds:
             a, b = int(starts[x]), int(starts[y + 1]) if y + 1 < len(starts) else len(part)
@@ -345,10 +346,11 @@ def scan_texts(texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, str,
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, families, spans and least probability of every row."""
+    models = docs.sparkSession.sparkContext.broadcast(model())  # trained once, a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            found = list(scan_texts(batch.column("text")))
+            found = list(scan_texts(batch.column("text"), models.value))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
