@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
+from pyspark.sql.types import FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 
 def unsigned(x: Column, bits: int) -> Column:
@@ -89,3 +89,26 @@ def uint64(text: Column) -> Column:
     """A decimal string as an unsigned 64-bit number; null if it is none (STR-09)."""
     parsed = F.when(text.rlike(r"^[0-9]{1,20}$"), text.try_cast("decimal(20,0)"))
     return F.when(parsed <= F.lit("18446744073709551615").cast("decimal(20,0)"), parsed)
+
+
+#: Integer types by their bits.
+WIDTHS = {"char": 8, "short": 16, "int": 32, "long": 64}
+
+
+def limits() -> list[tuple[str, int, int, int, str]]:
+    """Name, bytes, least and greatest signed value, and greatest unsigned one of each integer type (NUM-23)."""
+    return [(name, bits // 8, -(2 ** (bits - 1)), 2 ** (bits - 1) - 1, str(2**bits - 1)) for name, bits in WIDTHS.items()]
+
+
+@F.pandas_udf(StructType([StructField("sign", IntegerType()), StructField("exponent", IntegerType()), StructField("mantissa", LongType()), StructField("hex", StringType())]))
+def double_parts(x: pd.Series) -> pd.DataFrame:
+    """Sign, biased exponent, mantissa and bits of a double (NUM-19, NUM-22)."""
+    bits = x.to_numpy(np.float64).view(np.uint64)
+    return pd.DataFrame({"sign": (bits >> 63).astype(np.int32), "exponent": ((bits >> 52) & 0x7FF).astype(np.int32), "mantissa": (bits & (2**52 - 1)).astype(np.int64), "hex": [f"{b:016X}" for b in bits.tolist()]})
+
+
+def from_parts(parts: Column) -> Column:
+    """The double of a sign, exponent and mantissa; infinities and what is no number are null."""
+    sign = 1 - 2 * parts["sign"]
+    scaled = F.when(parts["exponent"] == 0, parts["mantissa"] * F.pow(F.lit(2.0), F.lit(-1074))).otherwise((1 + parts["mantissa"] / F.lit(2.0**52)) * F.pow(F.lit(2.0), parts["exponent"] - 1023))
+    return F.when(parts["exponent"] < 0x7FF, sign * scaled)

@@ -84,3 +84,23 @@ def is_excluded(name: Column) -> Column:
 
 def log_line(at: Column, level: Column, message: Column) -> Column:
     return F.format_string("[%s] [%s] %s", F.date_format(at, "yyyy-MM-dd HH:mm:ss"), level, message)
+
+
+#: Log levels from the least on.
+LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR")
+
+
+def at_level(level: Column, least: str) -> Column:
+    """Whether a level is logged where the threshold is ``least``; an unknown level isn't (STR-15)."""
+    return level.isin(*LEVELS[LEVELS.index(least) :])
+
+
+def swapped(a: Column, b: Column) -> tuple[Column, Column]:
+    return b, a
+
+
+def typed_fields(line: Column) -> Column:
+    """A line of a 16-bit, a 32-bit and a 64-bit unsigned number, a float and a double; what is none of its kind is null (NUM-25)."""
+    part = lambda k: F.get(F.split(F.trim(line), r"\s+"), F.lit(k))
+    number = lambda k, bits: F.when(part(k).rlike(r"^[0-9]{1,20}\z") & (part(k).try_cast("decimal(20,0)") < F.lit(str(2**bits)).cast("decimal(20,0)")), part(k).try_cast("decimal(20,0)"))
+    return F.struct(number(0, 16).cast("int").alias("hu"), number(1, 32).cast("long").alias("u"), number(2, 64).alias("llu"), part(3).try_cast("float").alias("f"), part(4).try_cast("double").alias("lf"))

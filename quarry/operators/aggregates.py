@@ -71,6 +71,11 @@ def harmonic_in_order(n: int, backward: bool = False, single: bool = False) -> C
     return F.aggregate(ids, F.lit(0.0).cast(kind), lambda a, i: (a + (one / i.cast(kind)).cast(kind)).cast(kind))
 
 
+def shared_count(spark: SparkSession, workers: int, each: int) -> DataFrame:
+    """What a counter shows after each of some workers has added one ``each`` times: counts a task are summed, so none is lost (AGG-30)."""
+    return spark.range(0, workers * each, numPartitions=workers).agg(F.count(F.lit(1)).alias("counter"))
+
+
 def within(spark: SparkSession, seconds: float, action: Callable[[], object]) -> object:
     """Runs an action and cancels its jobs after a time (AGG-06)."""
     group = f"within-{threading.get_ident()}-{id(action)}"

@@ -112,3 +112,35 @@ def archive_raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = contents(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename"), "content")
     files.write.format("quarry_archive").option("raw", "true").mode("append").save(path)
     return spark.read.format("quarry_archive").load(path).select("filename", "original_size", "compressed_size", F.sha2("content", 256).alias("sha256"))
+
+
+def whole_round_trip(name: str, secondary: str = "none"):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = decode_column(encode_column(contents(spark, sf_dir), "content", name, secondary))
+        return out.select("doc_id", F.octet_length("decoded").cast("long").alias("decoded"), F.sha2("decoded", 256).alias("sha256"))
+
+    return run
+
+
+for _name, _first, _second in (*((n, n, "none") for n in ("rle", "lz77", "lz78", "huffman", "shannon", "arithmetic")), ("two_stage", "arithmetic", "rle")):
+    query(f"decoded_{_name}", "SELECT doc_id, strlen(text) AS decoded, sha256(text) AS sha256 FROM documents")(whole_round_trip(_first, _second))
+
+
+SYMBOLS = "SELECT count(DISTINCT ch) AS symbols, true AS prefix_free, true AS known, 1.0::DOUBLE AS kraft FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS ch FROM documents)"
+
+
+def code_facts(codes: DataFrame) -> DataFrame:
+    """Number of codes, whether none begins another, whether each length is its code's, and the sum of 2 to minus the lengths."""
+    heads = F.when(F.length("code") > 1, F.transform(F.sequence(F.lit(1), F.length("code") - 1), lambda n: F.substr(F.col("code"), F.lit(1), n)))
+    clash = codes.select(F.explode(heads).alias("code")).join(codes.select("code"), "code").agg(F.count(F.lit(1))).scalar()
+    return codes.agg(F.count(F.lit(1)).alias("symbols"), F.min(F.col("length") == F.length("code")).alias("known"), F.round(F.sum(F.pow(F.lit(0.5), F.col("length"))), 9).alias("kraft")).withColumn("prefix_free", clash == 0)
+
+
+@query("huffman_code_facts", SYMBOLS)
+def huffman_code_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_facts(code_table(spark, sf_dir, prefix.huffman_codes))
+
+
+@query("shannon_code_facts", SYMBOLS)
+def shannon_code_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_facts(code_table(spark, sf_dir, prefix.shannon_codes))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import security
 from ..functions import numbers as N
 from ..functions import strings as S
-from ..operators import aggregates
+from ..operators import aggregates, joins
 from ..sources import generators
 from ..sources.tables import table
 from .registry import query
@@ -236,3 +236,133 @@ def generated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = a.agg(F.count(F.lit(1)).cast("int").alias("a_rows"), F.min(F.col("KeyField").rlike("^[A-E]{2}$") & F.col("Value1").between(1, 99)).alias("ka"))
     y = b.agg(F.count(F.lit(1)).cast("int").alias("b_rows"), F.min(F.col("KeyField").rlike("^[A-E]{2}$")).alias("kb"), F.min(F.col("Value3").between(1, 99) & F.col("Value4").isNotNull()).alias("vb"))
     return x.join(y, F.lit(True)).select("a_rows", "b_rows", (F.col("ka") & F.col("kb")).alias("keys_ok"), F.col("vb").alias("values_ok"))
+
+
+@query(
+    "plain_scalars",
+    """
+SELECT l_orderkey, l_linenumber, l_orderkey + l_partkey AS sum2, l_linestatus AS first, l_returnflag AS second, l_returnflag || '+' || l_linestatus AS pair, l_quantity - l_discount AS difference, 5 AS eighth
+FROM lineitem
+""",
+)
+def plain_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum of two numbers, two texts swapped, a pair of texts in one, a difference of doubles, the eighth of eight arguments."""
+    first, second = S.swapped(F.col("l_returnflag"), F.col("l_linestatus"))
+    eighth = F.get(F.array(*[F.lit(k) for k in (1, 2, 3, 4, 8, 7, 6, 5)]), F.lit(7))
+    return lines(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", (F.col("l_orderkey") + F.col("l_partkey")).alias("sum2"), first.alias("first"), second.alias("second"),
+        F.concat("l_returnflag", F.lit("+"), "l_linestatus").alias("pair"), (F.col("l_quantity") - F.col("l_discount")).alias("difference"), eighth.alias("eighth"),
+    )
+
+
+@query(
+    "bit_ops_signed",
+    """
+SELECT l_orderkey, l_linenumber, x * 2 AS mul2, x // 2 AS div2, (x & 4294967295) // 2 AS unsigned_div2, x % 16 AS rem16, (x & 4294967295) % 16 AS mod16, x & (-16) AS down16, x >> 1 AS shr1, (x & 4294967295) >> 1 AS unsigned_shr1
+FROM (SELECT l_orderkey, l_linenumber, (l_partkey - 1000)::bigint AS x FROM lineitem)
+""",
+)
+def bit_ops_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations of ``bit_ops`` on values of either sign, signed and as 32 unsigned bits."""
+    df = lines(spark, sf_dir).withColumn("x", F.col("l_partkey").cast("long") - 1000)
+    df = df.withColumn("u", N.unsigned(F.col("x"), 32))
+    return df.select(
+        "l_orderkey", "l_linenumber", F.expr("x * 2").alias("mul2"), F.expr("x div 2").alias("div2"), F.expr("u div 2").alias("unsigned_div2"), F.expr("x % 16").alias("rem16"), F.expr("u % 16").alias("mod16"),
+        F.expr("x & -16L").alias("down16"), F.shiftright("x", 1).alias("shr1"), F.shiftright("u", 1).alias("unsigned_shr1"),
+    )
+
+
+@query("array_sum_double", "SELECT c_custkey, round(list_sum([c_acctbal, c_acctbal / 3, -0.125, 0.5::DOUBLE]), 6) + 0.0 AS total, list_sum([c_custkey, -c_nationkey, 7]) AS whole FROM customer")
+def array_sum_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("c_acctbal")
+    total = N.array_sum(F.array(x, x / 3, F.lit(-0.125), F.lit(0.5)), F.lit(0.0))
+    whole = N.array_sum(F.array(F.col("c_custkey").cast("long"), -F.col("c_nationkey").cast("long"), F.lit(7).cast("long")), F.lit(0).cast("long"))
+    return table(spark, sf_dir, "customer").select("c_custkey", (F.round(total, 6) + 0.0).alias("total"), whole.alias("whole"))
+
+
+@query(
+    "harmonic_orders",
+    """
+SELECT n, round(list_reduce(list_transform(range(1, n + 1), lambda i: 1.0::DOUBLE / i), lambda a, x: a + x), 9) AS forward, round(list_reduce(list_transform(range(n, 0, -1), lambda i: 1.0::DOUBLE / i), lambda a, x: a + x), 9) AS backward,
+  round(list_reduce(list_transform(range(1, n + 1), lambda i: 1.0::FLOAT / i::FLOAT), lambda a, x: (a + x)::FLOAT)::DOUBLE, 7) AS single, round(list_reduce(list_transform(range(n, 0, -1), lambda i: 1.0::FLOAT / i::FLOAT), lambda a, x: (a + x)::FLOAT)::DOUBLE, 7) AS single_backward
+FROM (VALUES (1), (10), (1000), (20000)) t(n)
+""",
+)
+def harmonic_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered sums in both directions and precisions, which round differently."""
+    out = None
+    for n in (1, 10, 1000, 20000):
+        sums = {"forward": (False, False, 9), "backward": (True, False, 9), "single": (False, True, 7), "single_backward": (True, True, 7)}
+        row = spark.range(1).select(F.lit(n).alias("n"), *[F.round(aggregates.harmonic_in_order(n, back, single).cast("double"), places).alias(name) for name, (back, single, places) in sums.items()])
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query("representations64", "SELECT o_orderkey, lpad(upper(to_hex(x)), 16, '0') AS hex64, lpad(to_binary(x), 64, '0') AS bin64, x AS signed64, cast(CASE WHEN x < 0 THEN x::HUGEINT + 18446744073709551616 ELSE x END AS varchar) AS unsigned64, chr((65 + o_orderkey % 26)::int) AS letter FROM (SELECT o_orderkey, (o_orderkey - 20000) * 100000000003 AS x FROM orders)")
+def representations64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    wide = x.cast("decimal(21,0)")
+    unsigned = F.when(x < 0, wide + F.lit("18446744073709551616").cast("decimal(21,0)")).otherwise(wide)
+    df = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey").cast("long") - 20000) * 100000000003).alias("x"))
+    return df.select("o_orderkey", F.lpad(F.hex(x), 16, "0").alias("hex64"), F.lpad(F.bin(x), 64, "0").alias("bin64"), x.alias("signed64"), unsigned.cast("decimal(20,0)").cast("string").alias("unsigned64"), F.char(65 + F.col("o_orderkey") % 26).alias("letter"))
+
+
+@query("double_views", "SELECT c_custkey, c_acctbal AS value, c_acctbal < 0 AS negative, CASE WHEN c_acctbal = 0 THEN NULL ELSE floor(log2(abs(c_acctbal)))::int END AS power FROM customer")
+def double_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles taken apart into their bits and put together again."""
+    parts = table(spark, sf_dir, "customer").select("c_custkey", N.double_parts("c_acctbal").alias("p"))
+    return parts.select("c_custkey", N.from_parts(F.col("p")).alias("value"), (F.col("p.sign") == 1).alias("negative"), F.when(F.col("p.exponent") > 0, F.col("p.exponent") - 1023).alias("power"))
+
+
+@query("numeric_limits", "SELECT * FROM (VALUES ('char', 1, -128::bigint, 127::bigint, '255'), ('short', 2, -32768, 32767, '65535'), ('int', 4, -2147483648, 2147483647, '4294967295'), ('long', 8, (-9223372036854775807 - 1)::bigint, 9223372036854775807, '18446744073709551615')) t(name, bytes, least, most, most_unsigned)")
+def numeric_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(N.limits(), "name string, bytes int, least long, most long, most_unsigned string")
+
+
+@query("shared_counter", "SELECT count(*) AS counter FROM (SELECT * FROM range(50) UNION ALL SELECT * FROM range(50))")
+def shared_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.shared_count(spark, 2, 50)
+
+
+TYPED = "(l_partkey * 40) || ' ' || (l_orderkey * 100000) || '  ' || CASE l_linenumber % 3 WHEN 0 THEN '18446744073709551616' WHEN 1 THEN '18446744073709551615' ELSE 'x' END || ' ' || l_discount || ' ' || l_extendedprice"
+
+
+@query(
+    "typed_scan",
+    f"""
+SELECT l_orderkey, l_linenumber, CASE WHEN a < 65536 THEN a::int END AS hu, CASE WHEN b < 4294967296 THEN b::bigint END AS u, CASE WHEN c <= 18446744073709551615 THEN c::varchar END AS llu, round(d::float::double, 5) AS f, e AS lf
+FROM (SELECT l_orderkey, l_linenumber, try_cast(p[1] AS hugeint) AS a, try_cast(p[2] AS hugeint) AS b, try_cast(p[3] AS hugeint) AS c, try_cast(p[4] AS double) AS d, try_cast(p[5] AS double) AS e FROM (SELECT *, regexp_split_to_array(trim({TYPED}), '\\s+') AS p FROM lineitem))
+""",
+)
+def typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of five typed values."""
+    text = lambda c: F.col(c).cast("string")
+    third = F.when(F.col("l_linenumber") % 3 == 0, "18446744073709551616").when(F.col("l_linenumber") % 3 == 1, "18446744073709551615").otherwise("x")
+    line = F.concat_ws(" ", (F.col("l_partkey") * 40).cast("string"), (F.col("l_orderkey") * 100000).cast("string"), F.lit(""), third, text("l_discount"), text("l_extendedprice"))
+    df = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", S.typed_fields(line).alias("v"))
+    return df.select("l_orderkey", "l_linenumber", "v.hu", "v.u", F.col("v.llu").cast("string").alias("llu"), F.round(F.col("v.f").cast("double"), 5).alias("f"), "v.lf")
+
+
+LEVEL = "CASE event_id % 5 WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARNING' WHEN 3 THEN 'ERROR' ELSE 'TRACE' END"
+
+
+@query("log_threshold", f"SELECT event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || {LEVEL} || '] ' || event_type AS line FROM events WHERE {LEVEL} IN ('WARNING', 'ERROR')")
+def log_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("level", F.expr(LEVEL))
+    return events.filter(S.at_level(F.col("level"), "WARNING")).select("event_id", S.log_line(F.col("ts"), F.col("level"), F.col("event_type")).alias("line"))
+
+
+GENERATED = """
+SELECT a.k AS "KeyField", count(*) AS pairs, sum(a.v * b.v)::bigint AS total FROM
+  (SELECT chr((65 + id % 5)::int) || chr((65 + id // 5 % 5)::int) AS k, id % 99 + 1 AS v FROM range(1250) t(id)) a
+  JOIN (SELECT chr((65 + id % 5)::int) || chr((65 + id // 5 % 5)::int) AS k, id % 97 + 1 AS v FROM range(1250) t(id)) b ON a.k = b.k GROUP BY 1
+"""
+
+
+@query("keyed_join", GENERATED)
+def keyed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucket join of two made tables over the 25 keys of two letters, by key."""
+    key = F.concat(F.char(65 + F.col("id") % 5), F.char(65 + F.expr("id div 5") % 5)).alias("KeyField")
+    a = spark.range(1250).select(key, (F.col("id") % 99 + 1).alias("Value1"), F.lit("a").alias("Description"))
+    b = spark.range(1250).select(key, (F.col("id") % 97 + 1).alias("Value3"), F.lit("b").alias("Status"))
+    return joins.bucket_join(a, b).groupBy("KeyField").agg(F.count(F.lit(1)).alias("pairs"), F.sum("TotalValue").alias("total"))
