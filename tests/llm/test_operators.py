@@ -54,6 +54,30 @@ def test_shards_have_the_mixture(spark):
     assert len(rows) == 24 and all(abs(r["count"] - want[r["source"]]) <= 1 for r in rows)
 
 
+def test_interleaving_by_brute_force(spark):
+    """Every row's shard and slot, from ranks and fractions computed row by row."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    data = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice(["x", "yy", None, "ü" * 5])) for i in range(500)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string").repartition(5)
+    crc = {d: zlib.crc32((t or "").encode()) for d, _, t in data}
+    seeded = df.select("doc_id", F.xxhash64(F.lit(17), sharding.source_key(F.col("source")), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).alias("h"))
+    h = {r.doc_id: r.h for r in seeded.collect()}
+    by = collections.defaultdict(list)
+    for d, s, _ in data:
+        by["1" if s is None else "0" + s].append((h[d] % 2**64 >> 52, h[d], d))
+    placed = []
+    for s, rows in by.items():
+        placed += [((2 * k + 1) / (2 * len(rows)), s, x, d) for k, (_, x, d) in enumerate(sorted(rows))]
+    want, n = {}, len(data)
+    for position, (*_, d) in enumerate(sorted(placed)):
+        shard = position * 8 // n
+        want[d] = shard, position - (shard * n + 7) // 8
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(df).collect()} == want
+    assert all(r.text_crc32 == crc[r.doc_id] for r in sharding.shard(df).collect())
+
+
 # 2
 
 
@@ -209,14 +233,19 @@ def test_every_link_is_counted(spark, folder, monkeypatch):
     assert {r.doc_id: r.component_id for r in rows} == part
 
 
-def test_links_query_gives_the_rows_of_its_sql(spark):
+@pytest.mark.parametrize("name", [n for n in queries.ORACLES if n != "op3_ngram_jaccard_join"])
+def test_queries_give_the_rows_of_their_sql(spark, name):
     import duckdb
 
-    folder, name = "/root/testdata/sf0.001", "op3_ngram_jaccard_links"
+    folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    rows = queries.QUERIES[name](spark, folder).select("doc_id", "n_shingles", "component_id", "n_links").collect()
-    assert count(map(tuple, rows)) == count(con.execute(queries.ORACLES[name]).fetchall())
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, folder)
+    assert sorted(got.columns) == sorted(columns)
+    assert count(map(tuple, got.select(*columns).collect())) == count(want.fetchall())
 
 
 def test_one_of_each_group(spark, docs):
@@ -359,6 +388,38 @@ def test_wrapped_notices_stay_in_their_block():
     assert [x for _, x in license_scan.scan_texts(pa.array([head, tail]))] == [[], []]
 
 
+def brute_license(m, text):
+    """Families of a text's lines, by the definition: n-grams of each line in plain Python, weights, softmax, cover."""
+    out = []
+    for line in text.split("\n"):
+        hashes = license_scan.words_of(line)
+        names = {int(g) for n in range(1, license_scan.GRAMS + 1) for g in license_scan.grams(hashes, n)}
+        own = [i for i, g in enumerate(m.names.tolist()) if g in names]
+        if not own:
+            continue
+        z = (sum(m.weights[i].astype(float) for i in own) + m.bias) / m.temperature
+        e = np.exp(z - z.max())
+        k = int(e.argmax())
+        cover = max((sum(int(g) in names for g in t) / len(t) for t in m.notices[k]), default=0) if k else 0
+        if k and e[k] / e.sum() >= m.threshold and cover >= license_scan.SHARE:
+            out.append(license_scan.CLASSES[k])
+    return out
+
+
+def test_license_query_by_brute_force(spark):
+    m, rng = license_scan.model(), random.Random(18)
+    lines = [t for t, _ in rng.sample(license_scan.samples(rng), 120)]
+    texts = ["\n\n".join(rng.sample(lines, 4)) for _ in range(25)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = 0
+    for r in license_scan.scan(df).collect():
+        want = brute_license(m, texts[r.doc_id] or "")
+        assert r.families == ",".join(sorted(set(want))) and r.n_licenses == len(want)
+        assert r.n_paragraphs == sum(bool(WORD.search(x)) for x in (texts[r.doc_id] or "").split("\n"))
+        found += len(want)
+    assert found > 10
+
+
 # 6
 
 
@@ -462,6 +523,30 @@ def test_quality_classifier(spark, folder):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def test_scores_by_brute_force(spark):
+    """The compiled column against the rules held by numpy, over statistics counted in plain Python."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    x = []
+    for t in texts.values():
+        n_words, chars, _, dup, inside = brute_statistics(t)
+        own = {"n_words": n_words, "word_chars": chars, "n_dup_lines": dup, "n_repeat_words": inside, "n_lines": sum(bool(WORD.search(y)) for y in t.split("\n")), "n_shouts": t.count("!") + t.count("?")}
+        own |= {name: sum(t.count(c) for c in chars) for name, chars in quality_rules.COUNTED.items()}
+        x.append([round(eval(e.replace("1.0D", "1.0"), {"greatest": max, "ln": np.log}, own), 6) for e in quality_classifier.FEATURES.values()])  # noqa: S307
+    x = np.array(x, float)
+    z = model.bias + sum((w * quality_classifier.holds(r, x) for r, w in model.rules), np.zeros(len(x)))
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect()}
+    assert np.abs(1 / (1 + np.exp(-z)) - np.array([got[d] for d in texts])).max() < 1e-6
+
+
+def test_documents_that_share_an_id_come_to_the_driver_as_one(spark):
+    docs = spark.createDataFrame([(1, f"text {k} of one document here") for k in range(50)] + [(k, "a b c") for k in range(2, 20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    assert 0 < quality_classifier.score(docs, quality_classifier.fit(docs, labels)).first().score < 1
+
+
 def test_held_out_accuracy(spark):
     rows = queries.QUERIES["op7_quality_classifier"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
     assert sum((r.score >= 0.5) == (r.quality == 1) for r in rows) >= 0.9 * len(rows)
@@ -784,6 +869,37 @@ def test_empty_tables(spark, empty, tmp_path):
         assert stage(empty).count() == 0
 
 
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() == 0
+
+
+def test_stages_by_brute_force(spark, folder):
+    """What each stage gives of what the one before it kept: rows, columns, and the last one's ids by the tokenizer itself."""
+    import corpus_pipeline
+
+    docs, reference = spark.read.parquet(f"{folder}/documents.parquet"), Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    columns = docs.columns
+    kept = corpus_pipeline.quality(spark, docs, folder)
+    verdict = {(r.doc_id, r.n_words) for r in quality_rules.judge(docs.select("doc_id", "text"), ["doc_id"]).filter("kept").collect()}
+    assert kept.columns == columns and {(r.doc_id, len(WORD.findall(r.text))) for r in kept.collect()} == verdict
+    apart = corpus_pipeline.near_copies(spark, kept, folder)
+    sets = {k: shingles(r.text) for k, r in enumerate(kept.collect())}
+    assert apart.columns == columns and apart.count() == len(list(components(sets)))
+    masked = corpus_pipeline.secrets_masked(spark, apart, folder)
+    assert masked.columns == columns and masked.count() == apart.count()
+    assert not any(s for x in masked.collect() for s in brute_base(x.text) if "[removed]" not in x.text[s[0] : s[1] + 9])
+    mix = corpus_pipeline.mix(spark, masked, folder)
+    assert mix.columns == columns
+    rows = {(r.doc_id, r.ids_sha256): r for r in corpus_pipeline.encode(spark, mix, folder).collect()}
+    for r in mix.collect():
+        ids = reference.encode(r.text or "", add_special_tokens=False).ids
+        assert rows[r.doc_id, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()].ids == ids
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline
 
