@@ -2,6 +2,10 @@
 
 Quality rules drop what they reject; of each group of near copies one document stays; secrets are masked; the mix repeats
 or leaves out documents by source; and what is left is encoded. Every stage works on all rows that it is given.
+
+Null and empty texts fail the quality rules' base test and go; texts of any length are taken whole; repeated rows are
+copies, of which one stays; a null doc_id or source is a value like others; extra columns pass all stages but the last,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
