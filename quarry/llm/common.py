@@ -25,6 +25,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def removed(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder of any file system that Spark knows; whether it was there."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in parts of a few rows, so that what is made of texts at once stays small."""
     for batch in batches:
@@ -45,14 +52,18 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for an empty or null text."""
-    plain = F.trim(F.translate(F.coalesce(text, F.lit("")), BLANKS[1:], " " * (len(BLANKS) - 1)))
-    return F.filter(F.split(plain, " +"), lambda w: w != "")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def n_of(text: Column, chars: str) -> Column:
+    """How many of some characters a text has."""
+    return F.regexp_count(text, F.lit("[" + "".join(c if c.isalnum() else f"\\{c}" for c in chars) + "]")).cast("long")
+
+
 def source_key(source: Column) -> Column:
     """A key that is never null and that sorts as the source does by code point, null last."""
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))

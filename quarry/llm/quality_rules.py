@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, aside, documents, durable, let, words
+from .common import BLANKS, WORD, aside, documents, durable, let, n_of, words
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
@@ -59,14 +59,15 @@ def repeated(w: Column) -> Column:
         slow = F.aggregate(let(pairs, starts), begin, step, lambda a: a["n"])
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(slow)
 
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    hashes = F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(hashes, covered))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with the statistics that the rules read."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    blanks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + n_of(text, BLANKS[1:])
     counted = docs.withColumns(
         {
             "_words": let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), repeated(w).alias("repeats"))),
@@ -76,11 +77,11 @@ def statistics(docs: DataFrame) -> DataFrame:
     return counted.withColumns(
         {
             "n_words": F.col("_words.n").cast("long"),
-            "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
+            "word_chars": (F.length(text) - blanks).cast("long"),
             "n_dup_lines": (F.col("_lines.n") - F.col("_lines.distinct")).cast("long"),
             "n_repeat_words": F.col("_words.repeats").cast("long"),
             "n_lines": F.col("_lines.n").cast("long"),
-            **{name: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long") for name, chars in COUNTED.items()},
+            **{name: n_of(text, chars) for name, chars in COUNTED.items()},
         }
     ).drop("_words", "_lines")
 
