@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, n_of
 from .quality_rules import statistics
 
 SAMPLE, CUTS = 6_000, 48
@@ -41,9 +41,7 @@ FEATURES = {
 
 def featured(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns f_* that rules read."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    number = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    counted = statistics(docs).withColumn("n_shouts", number("!?"))
+    counted = statistics(docs).withColumn("n_shouts", n_of(F.coalesce(F.col("text"), F.lit("")), "!?"))
     return counted.withColumns({f"f_{k}": F.round(F.expr(x).cast("double"), 6) for k, x in FEATURES.items()})
 
 
