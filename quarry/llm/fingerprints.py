@@ -2,8 +2,8 @@
 
 The word 5-shingles of a text (words lower-cased A-Z; with fewer words, the whole sequence as one) are hashed once to 64
 bits. The top eight bits name one of 256 bins and each bin keeps its least hash. An empty bin takes the value of the
-first non-empty bin of a random sequence of its own (optimal densification), the same sequence for every document. The
-low four bits of each bin are packed, 16 bins in a long; the fingerprint is these 16 longs in hexadecimal. Two unequal
+first non-empty bin of a random sequence of its own (optimal densification), the same sequence for every document: PROBES
+hashes, and after these the full bin of least hash with it. The low four bits of each bin are packed, 16 bins in a long; the fingerprint is these 16 longs in hexadecimal. Two unequal
 hashes agree in four bits with chance 1/16, so the likeness is (agreeing bins / 256 - 1/16) / (15/16), at least 0.
 
 A text without words, or null, has the empty fingerprint: likeness 1 to another empty one, 0 to others. The next document
@@ -20,7 +20,6 @@ its successor beside it.
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,11 +35,6 @@ STRETCH, MOST_STRETCHES = 512, 1_000_000
 TOO_FULL = 8
 
 
-def sequence_of(i: int) -> list[int]:
-    """The first bins that an empty bin i looks at."""
-    return [hashlib.sha256(b"%d:%d" % (i, j)).digest()[0] for j in range(PROBES)]
-
-
 def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -50,7 +44,7 @@ def shingle_hashes(text: Column) -> Column:
 
     def hashes(w: Column) -> Column:
         n = F.size(w)
-        several = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+        several = F.transform(F.slice(w, F.lit(1), n - SHINGLE + 1), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
         # with fewer words the last arguments are null, which the hash passes over; their count tells such shingles apart
         one = F.array(F.xxhash64(F.lit(-1), n, *[F.get(w, F.lit(k)) for k in range(SHINGLE - 1)]))
         return F.when(n == 0, F.array().cast("array<bigint>")).when(n < SHINGLE, one).otherwise(several)
@@ -61,24 +55,18 @@ def shingle_hashes(text: Column) -> Column:
 def bins(text: Column) -> Column:
     """The 16 packed longs of a text; null if it has no words."""
     least = [signed((b << 56) | (2**56 - 1)) for b in range(BINS)]  # a bin's largest hash stands for none
-    looks = F.expr(f"array({', '.join(f'array({str(sequence_of(b))[1:-1]})' for b in range(BINS))})")
     top = lambda h: F.shiftrightunsigned(h, 56).cast("int")
     none = lambda h: F.bitwise_not(h).bitwiseAND(F.lit(2**56 - 1)) == 0
-    place = lambda b: (b + BINS // 2) % BINS  # noqa: E731  of a bin in the order of signed longs
 
     def filled(d: Column) -> Column:
-        def value(h: Column) -> Column:
-            def look(k: int) -> Column:
-                return let(F.get(d, place(F.get(F.get(looks, top(h)), F.lit(k)))), lambda x: F.when(~none(x), x))
-
-            def nearest() -> Column:
-                there = F.filter(d, lambda x: ~none(x))
-                ranked = F.transform(there, lambda x: F.struct(F.xxhash64(top(h), top(x)).alias("r"), x.alias("h")))
-                return F.array_min(ranked)["h"]
+        """``d``: the value of each bin, in the order of signed longs, null for none."""
+        full = F.filter(F.transform(d, lambda x, j: F.struct(j.alias("j"), x.alias("h"))), lambda x: x["h"].isNotNull())
 
-            return F.when(~none(h), h).otherwise(F.coalesce(*[look(k) for k in range(PROBES)], nearest()))
+        def value(x: Column, i: Column, there: Column) -> Column:
+            looks = [F.get(d, F.pmod(F.xxhash64(i, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(PROBES)]
+            return F.coalesce(x, *looks, F.array_min(F.transform(there, lambda y: F.struct(F.xxhash64(i, y["j"]).alias("r"), y["h"].alias("h"))))["h"])
 
-        return F.transform(d, value)
+        return let(full, lambda there: F.transform(d, lambda x, i: value(x, i, there)))
 
     def packed(v: Column) -> Column:
         def long_of(g: Column) -> Column:
@@ -92,7 +80,8 @@ def bins(text: Column) -> Column:
 
     def of(h: Column) -> Column:
         first = let(F.sort_array(F.concat(h, F.expr(f"array({', '.join(f'{x}L' for x in least)})"))), densest)
-        return F.when(F.size(h) > 0, let(let(first, filled), packed))
+        opened = F.transform(first, lambda x: F.when(~none(x), x))
+        return F.when(F.size(h) > 0, let(let(opened, filled), packed))
 
     return let(shingle_hashes(text), of)
 

@@ -5,11 +5,13 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark import SparkFiles
 from tokenizers import Tokenizer
 
@@ -606,17 +608,19 @@ def brute_fingerprint(spark, text):
         b = (h % 2**64) >> 56
         least[b] = min(h, least.get(b, h))
 
-    def value(b):
-        if b in least:
-            return least[b]
-        for j in range(fingerprints.PROBES):
-            other = hashlib.sha256(b"%d:%d" % (b, j)).digest()[0]
-            if other in least:
-                return least[other]
-        return None
-
-    # bins in the order of signed longs; None where the sequence meets no full bin and the operator falls back on a rank
-    return [v if v is None else f"{v & 15:X}" for v in (value((b + 128) % 256) for b in range(256))]
+    order = [(b + 128) % 256 for b in range(256)]  # bins as signed longs sort
+
+    def look(i, k):
+        h = 42  # the seed
+        for n in (i, k):
+            h = xxhash.xxh64(struct.pack("<i", n), seed=h).intdigest()
+        return order[h % 256]
+
+    def value(i):
+        return next((least[b] for b in (order[i], *(look(i, k) for k in range(fingerprints.PROBES))) if b in least), None)
+
+    # None where the sequence meets no full bin and the operator falls back on a rank
+    return [v if v is None else f"{v & 15:X}" for v in map(value, range(256))]
 
 
 def test_fingerprint_by_brute_force(spark):
