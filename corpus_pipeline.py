@@ -46,9 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again by the next."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again by the next.
+
+    What a stage has read is deleted once its own rows are written, so that two stages' rows are there at most.
+    """
     docs, at = common.documents(spark, sf_dir), f"{common.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            common.removed(spark, f"{at}/{k - 1}")
     return docs
