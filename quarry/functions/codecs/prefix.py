@@ -11,7 +11,9 @@ from __future__ import annotations
 import bisect
 import itertools
 
-from .bits import pack, unpack
+import numpy as np
+
+from .bits import unpack
 
 Tree = int | tuple["Tree", "Tree"]
 
@@ -66,13 +68,59 @@ def size(counts: list[int], codes: dict[int, str]) -> int:
     return -(-sum(counts[s] * len(c) for s, c in codes.items()) // 8)
 
 
+#: Bytes that are coded at once, and the longest codes that are read by a table of all windows of bits.
+AT_ONCE, WINDOW = 1 << 16, 16
+
+
 def encode(data: bytes, codes: dict[int, str]) -> bytes:
     if data and not all(codes.get(b) for b in set(data)):
         raise ValueError("a byte has no code")
-    return pack([codes[b] for b in data])
+    longest = max(map(len, codes.values()), default=0)
+    bits, length = np.zeros((256, longest), np.uint8), np.zeros(256, np.int64)
+    for s, c in codes.items():
+        length[s] = len(c)
+        bits[s, : len(c)] = np.frombuffer(c.encode(), np.uint8) - ord("0")
+    out, places = [], np.arange(longest)
+    for k in range(0, len(data), AT_ONCE):
+        part = np.frombuffer(data, np.uint8, min(AT_ONCE, len(data) - k), k)
+        out.append(bits[part][places < length[part][:, None]])
+    return np.packbits(np.concatenate(out)).tobytes() if out else b""
 
 
 def decode(data: bytes, codes: dict[int, str], size: int) -> bytes:
+    """The first ``size`` symbols. With the code at every place of the bits known from a table, symbols are read by going from code to code."""
+    longest = max(map(len, codes.values()), default=0)
+    if longest > WINDOW or not longest:
+        return decode_by_bits(data, codes, size)
+    length, symbol = np.zeros(1 << longest, np.uint8), np.zeros(1 << longest, np.uint8)
+    for s, c in codes.items():
+        if c:
+            first = int(c, 2) << (longest - len(c))
+            length[first : first + (1 << (longest - len(c)))] = len(c)
+            symbol[first : first + (1 << (longest - len(c)))] = s
+    out, left, begin = [], size, 0
+    while left:  # stretches of bits, each with the longest code's bits after it
+        low = begin // 8
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, max(0, min(AT_ONCE, len(data) - low)), low))
+        n = len(bits)
+        window = np.zeros(n, np.int64)
+        padded = np.concatenate([bits, np.zeros(longest, np.uint8)])
+        for k in range(longest):
+            window = (window << 1) | padded[k : k + n]
+        step, at, places = length[window].tolist(), begin - 8 * low, []
+        last = n - longest if low + AT_ONCE < len(data) else n - 1
+        while at <= last and left and step[at]:
+            places.append(at)
+            at += step[at]
+            left -= 1
+        out.append(symbol[window[places]].tobytes() if places else b"")
+        if not places or 8 * low + at > 8 * len(data):
+            raise ValueError("the data end before all symbols are read")
+        begin = 8 * low + at
+    return b"".join(out)
+
+
+def decode_by_bits(data: bytes, codes: dict[int, str], size: int) -> bytes:
     symbols, out, code = {c: s for s, c in codes.items()}, bytearray(), ""
     for bit in unpack(data):
         if len(out) == size:

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 INT_MAX, INT_MIN = 2**31 - 1, -(2**31)
 
 
@@ -71,6 +73,22 @@ def harmonic_in_order(n: int, backward: bool = False, single: bool = False) -> C
     return F.aggregate(ids, F.lit(0.0).cast(kind), lambda a, i: (a + (one / i.cast(kind)).cast(kind)).cast(kind))
 
 
+def running_sum(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """Sum of a key's earlier values in an order, with no task that has all of a key's rows (WIN-04).
+
+    Rows are cut into ranges of key and order and written once; the sums of a key's ranges are added up, at most one row
+    for a range, and only the rows of a range are sorted together.
+    """
+    ranged = durable(df.repartitionByRange(key, order).select("*", F.spark_partition_id().alias("_range")))
+    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(F.sum(value).alias("_sum"))
+    before = totals.select("_key", "_at", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    both = rows.join(before, rows[key].eqNullSafe(before["_key"]) & (rows["_range"] == before["_at"]))
+    return both.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+
+
 def shared_count(spark: SparkSession, workers: int, each: int) -> DataFrame:
     """What a counter shows after each of some workers has added one ``each`` times: counts a task are summed, so none is lost (AGG-30)."""
     return spark.range(0, workers * each, numPartitions=workers).agg(F.count(F.lit(1)).alias("counter"))

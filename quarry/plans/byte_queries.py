@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytes as B
+from ..operators import aggregates
 from ..sources.tables import spread, table
 from .registry import query
 
@@ -147,8 +148,8 @@ def rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("file_offsets", "SELECT doc_id, lang, coalesce(sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM documents")
 def file_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return docs(spark, sf_dir).select("doc_id", "lang", F.octet_length("text").cast("long").alias("n")).select("doc_id", "lang", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    sizes = docs(spark, sf_dir).select("doc_id", "lang", F.octet_length("text").cast("long").alias("n"))
+    return aggregates.running_sum(sizes, "lang", "doc_id", "n", "start").drop("n")
 
 
 @query("total_size", "SELECT cast(sum(strlen(text)) AS bigint) AS bytes, count(*) AS files FROM documents")

@@ -1,14 +1,15 @@
 """Lines from TCP and datagrams from UDP as streams, and an echo of them.
 
 The reference's only unbounded inputs are socket servers; these are their streaming forms. Sockets can't be replayed: both
-are for trying things out, and what is in flight when a reader fails is lost.
+are for trying things out, and what is in flight when a reader fails is lost. Datagrams wait on the driver, KEPT at most.
 """
 
 from __future__ import annotations
 
 import socket
 import threading
-from collections.abc import Iterator
+import time
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -32,28 +33,33 @@ class Datagrams(DataSourceStreamReader):
     """Listens on a port beside the driver; a batch has what has come since the last, and its task gets the data themselves."""
 
     def __init__(self, host: str, port: int, echo: bool) -> None:
-        self.at, self.echo, self.held, self.first, self.lock, self.socket = (host, port), echo, [], 0, None, None
+        self.at, self.echo, self.held, self.first, self.lock, self.socket, self.error = (host, port), echo, [], 0, None, None, None
 
     def start(self) -> None:
         """Opens the port with the first batch: Spark makes readers that it only asks for their schema."""
         if self.socket is None:
-            self.lock = threading.Lock()
+            # numbers go on from the clock, so that those of a query that starts again lie above the ones that it knows
+            self.first, self.lock = int(time.time() * 1e6), threading.Lock()
             self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
             self.socket.bind(self.at)
             threading.Thread(target=self.listen, daemon=True).start()
+        if self.error is not None:
+            raise RuntimeError(self.error)
 
     def listen(self) -> None:
         while True:
             try:
                 data, sender = self.socket.recvfrom(MOST_BYTES)
-            except OSError:
+            except OSError as e:
+                self.error = f"the port can't be read any more: {e}"
                 return
             if self.echo:
                 self.socket.sendto(data, sender)
             with self.lock:
+                if len(self.held) == KEPT:  # the query fails with its next batch, rather than lose some unsaid
+                    self.error = f"more than {KEPT} datagrams wait for the query"
+                    return
                 self.held.append((f"{sender[0]}:{sender[1]}", bytes(data)))
-                if len(self.held) > KEPT:
-                    raise RuntimeError(f"more than {KEPT} datagrams wait for the query")
 
     def initialOffset(self) -> dict:
         return {"next": 0}
@@ -66,7 +72,7 @@ class Datagrams(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Received]:
         self.start()
         with self.lock:
-            return [Received(self.held[start["next"] - self.first : end["next"] - self.first])]
+            return [Received(self.held[max(0, start["next"] - self.first) : max(0, end["next"] - self.first)])]
 
     def read(self, partition: Received) -> Iterator[tuple]:
         return iter(partition.rows)
@@ -74,8 +80,9 @@ class Datagrams(DataSourceStreamReader):
     def commit(self, end: dict) -> None:
         self.start()
         with self.lock:
-            del self.held[: end["next"] - self.first]
-            self.first = end["next"]
+            if end["next"] > self.first:  # not a batch of a query that has been started again
+                del self.held[: end["next"] - self.first]
+                self.first = end["next"]
 
 
 class UdpSource(DataSource):
@@ -99,3 +106,28 @@ def udp(spark: SparkSession, port: int, host: str = "127.0.0.1", echo: bool = Tr
 
 def to_memory(stream: DataFrame, name: str) -> StreamingQuery:
     return stream.writeStream.format("memory").queryName(name).outputMode("append").start()
+
+
+def send_datagrams(address: tuple[str, int], messages: Iterable[bytes], seconds: float = 2.0) -> list[bytes | None]:
+    """Sends datagrams one by one and gives the answer to each, null where none comes in time (SRC-20)."""
+    out: list[bytes | None] = []
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.settimeout(seconds)
+        for m in messages:
+            s.sendto(m, address)
+            try:
+                out.append(s.recvfrom(MOST_BYTES)[0])
+            except TimeoutError:
+                out.append(None)
+    return out
+
+
+def send_lines(address: tuple[str, int], lines: Iterable[str], seconds: float = 10.0) -> int:
+    """Sends lines to a TCP server; the number of bytes sent (SRC-20)."""
+    sent = 0
+    with socket.create_connection(address, seconds) as s:
+        for line in lines:
+            data = line.encode() + b"\n"
+            s.sendall(data)
+            sent += len(data)
+    return sent

@@ -122,3 +122,21 @@ def test_columns(spark):
     out = decode_column(encode_column(df, "content", "column:how")).orderBy("id").collect()
     assert [r.decoded for r in out] == [r.content for r in out]
     assert bytes(out[3].encoded).hex() == "6e8adc"
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 1000, 200_000])
+def test_prefix_codes_of_many_sizes(n):
+    rng = random.Random(n)
+    for weights in ([1] * 256, [2 ** max(0, 24 - k) for k in range(40)], [1000, 1], [5, 4, 3, 2, 1]):
+        data = bytes(rng.choices(range(len(weights)), weights, k=n))
+        counts = [data.count(b) for b in range(256)]
+        if len(set(data)) < 2:
+            continue
+        for codes in (prefix.huffman_codes(counts), prefix.shannon_codes(counts)):
+            packed = prefix.encode(data, codes)
+            text = "".join(codes[b] for b in data)
+            assert len(packed) == prefix.size(counts, codes) == -(-len(text) // 8)
+            assert packed == int(text.ljust(8 * len(packed), "0"), 2).to_bytes(len(packed), "big")
+            assert prefix.decode(packed, codes, n) == data == prefix.decode_by_bits(packed, codes, n)
+            with pytest.raises(ValueError):
+                prefix.decode(packed[: len(packed) // 2], codes, n)

@@ -491,3 +491,67 @@ def test_means_of_groups_keep_null_keys(spark):
 def test_text_table_of_no_rows(spark):
     assert relational.text_table(spark.createDataFrame([], "ab string, c int")).collect() == [(True, "ab | c")]
     assert api.printed(spark.range(1, 2).toDF("no")) == "+---+\n|no |\n+---+\n|1  |\n+---+\n"
+
+
+def test_running_sums_of_one_large_key(spark):
+    df = spark.range(5000).selectExpr("if(id % 10 = 0, null, if(id % 7 = 0, 'b', 'a')) AS k", "id AS o", "id % 13 AS v")
+    want, sums = [], {}
+    for r in df.orderBy("o").collect():
+        want.append((r.k, r.o, r.v, sums.get(r.k, 0)))
+        sums[r.k] = sums.get(r.k, 0) + r.v
+    assert rows(aggregates.running_sum(df, "k", "o", "v", "s")) == sorted(want, key=str)
+
+
+def test_empty_files_are_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, data in (("a.txt", b"x"), ("b.txt", b""), ("in/c", b""), ("_hidden", b""), ("d.tmp", b"")):
+        (tmp_path / name).write_bytes(data)
+    found = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in files.whole_files(spark, str(tmp_path)).collect()}
+    assert found == {"a.txt": b"x", "b.txt": b"", "c": b""}
+    assert {r.filename: r.size for r in files.listing(spark, str(tmp_path)).collect()} == {"a.txt": 1, "b.txt": 0, "c": 0}
+
+
+def test_datagrams_that_nobody_takes(monkeypatch):
+    from quarry.streaming import sockets
+
+    monkeypatch.setattr(sockets, "KEPT", 3)
+    free = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    free.bind(("127.0.0.1", 0))
+    port = free.getsockname()[1]
+    free.close()
+    reader = sockets.Datagrams("127.0.0.1", port, True)
+    start = reader.latestOffset()
+    assert sockets.send_datagrams(("127.0.0.1", port), [b"a", b"b", b"c", b"d"], 1.0)[:3] == [b"a", b"b", b"c"]
+    time.sleep(0.2)
+    with pytest.raises(RuntimeError):
+        reader.latestOffset()
+    assert start["next"] > 0 and [bytes(x) for _, x in reader.held] == [b"a", b"b", b"c"]
+
+
+def test_batches_of_a_query_that_starts_again(monkeypatch):
+    from quarry.streaming import sockets
+
+    reader = sockets.Datagrams("127.0.0.1", 0, False)
+    reader.start()
+    reader.held = [("x", b"1"), ("x", b"2")]
+    old = {"next": reader.first - 50}
+    (part,) = reader.partitions(old, {"next": reader.first + 1})
+    assert [d for _, d in part.rows] == [b"1"]
+    reader.commit(old)
+    assert len(reader.held) == 2
+    reader.commit({"next": reader.first + 1})
+    assert [d for _, d in reader.held] == [b"2"]
+
+
+def test_lines_are_sent():
+    from quarry.streaming import sockets
+
+    server = socket.create_server(("127.0.0.1", 0))
+    assert sockets.send_lines(server.getsockname(), ["a", "ü"]) == 5
+    assert server.accept()[0].makefile("rb").read() == "a\nü\n".encode()
+
+
+def test_jdbc_options(spark):
+    """No database is at hand: the reader must get as far as the missing driver."""
+    with pytest.raises(Exception, match="(?i)driver"):
+        files.jdbc(spark, "jdbc:postgresql://127.0.0.1:1/x", "t", "id", (1, 9), driver="org.postgresql.Driver").collect()
