@@ -4,9 +4,10 @@ One archive holds a header, a table of its files (name, sizes, offset, CRC-32),
 Two kinds are read and written (layouts are fixed values): raw, with files as they are, and compressed, with one or two
 codecs for all files. Numbers are least significant byte first, as compilers lay the structures out in memory.
 
-Writing: each partition becomes one archive, with a model of its own files; a task writes under a temporary name and the
-commit gives archives their names, so that a task run again leaves no half of one. Columns: filename, content. Options:
-``codec`` (default ``auto``: by entropy), ``secondary`` (default ``none``), or ``raw`` = true.
+Writing: each partition becomes an archive, or several once its files have ``archiveBytes`` (default 256 MB; the format's
+sizes have 32 bits), each with a model of its own files; a task writes under temporary names and the commit gives archives
+their names, so that a task run again leaves no half of one. Columns: filename, content. Options: ``codec`` (default
+``auto``: by entropy), ``secondary`` (default ``none``), or ``raw`` = true. A path without a scheme is one of this machine.
 
 Reading: a partition for each archive; files are read by position, one at a time, and checked against their CRC.
 """
@@ -215,9 +216,13 @@ class ArchiveReader(DataSourceReader):
                 yield e.filename, e.original_size, e.compressed_size, e.offset, e.crc, archive.read(e)
 
 
+#: Bytes of files after which a partition begins another archive.
+ARCHIVE_BYTES = 256 << 20
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    temporary: str | None
+    temporary: list[str]
     files: int
 
 
@@ -225,35 +230,46 @@ class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, path: str, options: dict[str, str], overwrite: bool) -> None:
         self.path, self.overwrite = path, overwrite
         self.primary, self.secondary, self.raw = options.get("codec", "auto"), options.get("secondary", "none"), options.get("raw", "false").lower() == "true"
+        self.most = int(options.get("archivebytes", options.get("archiveBytes", ARCHIVE_BYTES)))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        files = [(r["filename"], (r["content"].encode() if isinstance(r["content"], str) else r["content"]) or b"") for batch in iterator for r in batch.to_pylist()]
-        if not files:
-            return Written(None, 0)
+        names, files, size, n = [], [], 0, 0
+        for batch in iterator:
+            for r in batch.to_pylist():
+                data = (r["content"].encode() if isinstance(r["content"], str) else r["content"]) or b""
+                if files and size + len(data) > self.most:
+                    names.append(self.put(files))
+                    files, size = [], 0
+                files.append((r["filename"], data))
+                size, n = size + len(data), n + 1
+        if files:
+            names.append(self.put(files))
+        return Written(names, n)
+
+    def put(self, files: list[tuple[str, bytes]]) -> str:
         data = build_raw(files) if self.raw else build(files, self.primary, self.secondary)
         where, at = store(self.path)
         where.create_dir(at, recursive=True)
         name = f"{at}/.{uuid.uuid4().hex}"
         with where.open_output_stream(name) as out:
             out.write(data)
-        return Written(name, len(files))
+        return name
 
     def commit(self, messages: list[Written]) -> None:
         where, at = store(self.path)
         where.create_dir(at, recursive=True)
-        if self.overwrite:
-            for i in where.get_file_info(fs.FileSelector(at)):
-                if i.base_name.endswith(SUFFIX):
-                    where.delete_file(i.path)
+        old = [i.path for i in where.get_file_info(fs.FileSelector(at)) if i.base_name.endswith(SUFFIX)] if self.overwrite else []
         job = uuid.uuid4().hex[:8]
-        for k, m in enumerate(m for m in messages if m and m.temporary):
-            where.move(m.temporary, f"{at}/part-{k:05d}-{job}{SUFFIX}")
+        for k, name in enumerate(name for m in messages if m for name in m.temporary):
+            where.move(name, f"{at}/part-{k:05d}-{job}{SUFFIX}")
+        for path in old:
+            where.delete_file(path)
 
     def abort(self, messages: list[Written]) -> None:
         where, _ = store(self.path)
         for m in messages:
-            if m and m.temporary:
-                where.delete_file(m.temporary)
+            for name in m.temporary if m else ():
+                where.delete_file(name)
 
 
 class ArchiveSource(DataSource):

@@ -555,3 +555,15 @@ def test_jdbc_options(spark):
     """No database is at hand: the reader must get as far as the missing driver."""
     with pytest.raises(Exception, match="(?i)driver"):
         files.jdbc(spark, "jdbc:postgresql://127.0.0.1:1/x", "t", "id", (1, 9), driver="org.postgresql.Driver").collect()
+
+
+def test_archives_of_bounded_size(spark, tmp_path):
+    archive.register(spark)
+    data = [(f"f{k}", bytes([k]) * 1000) for k in range(20)]
+    df = spark.createDataFrame(data, "filename string, content binary").coalesce(1)
+    path = str(tmp_path / "parts")
+    for _ in range(2):  # the second time in place of the first
+        df.write.format("quarry_archive").option("archiveBytes", "3000").mode("overwrite").save(path)
+        assert len(list((tmp_path / "parts").glob("*.arc"))) == 7
+    back = spark.read.format("quarry_archive").load(path)
+    assert sorted((r.filename, bytes(r.content)) for r in back.collect()) == sorted(data)
