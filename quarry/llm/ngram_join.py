@@ -285,7 +285,8 @@ def with_components(sets: DataFrame, edges: DataFrame) -> DataFrame:
     linked = spread_join(ends.drop("least"), ends.groupBy("component").agg(F.min("least").alias("component_id")), "component", "set_id")
     alone = F.col("component").isNull()
     class_of = classes_of.join(linked, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return sets.join(class_of, "set_id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    # copies of one text may be a third of all rows
+    return spread_join(sets, class_of, "set_id", "doc_id").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
 def joined(docs: DataFrame) -> DataFrame:
