@@ -10,7 +10,7 @@ from ..functions import numbers as N
 from ..functions import strings as S
 from ..operators import aggregates, joins
 from ..sources import generators
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 
@@ -175,7 +175,7 @@ INJECTIONS = " OR ".join("regexp_matches(text, '(?i)" + p.replace("'", "''") + "
 
 @query("injection_flags", f"SELECT doc_id, {INJECTIONS} OR contains(regexp_replace(regexp_replace(text, '\\\\''', '', 'g'), '''[^'']*(''|$)', '', 'g'), ';') AS flagged FROM documents")
 def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.is_injection(F.col("text")).alias("flagged"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", S.is_injection(F.col("text")).alias("flagged"))
 
 
 @query("parameter_types", "SELECT DISTINCT s, CASE WHEN regexp_full_match(s, '-?[0-9]*') THEN 23 ELSE 25 END AS oid FROM (SELECT cast(l_orderkey AS varchar) AS s FROM lineitem UNION ALL SELECT l_returnflag FROM lineitem UNION ALL SELECT cast(-l_linenumber AS varchar) FROM lineitem UNION ALL SELECT cast(l_linenumber AS varchar) || '.5' FROM lineitem UNION ALL SELECT '')")
