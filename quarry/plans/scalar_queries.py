@@ -310,8 +310,8 @@ def representations64(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("double_views", "SELECT c_custkey, c_acctbal AS value, c_acctbal < 0 AS negative, CASE WHEN c_acctbal = 0 THEN NULL ELSE floor(log2(abs(c_acctbal)))::int END AS power FROM customer")
 def double_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubles taken apart into their bits and put together again."""
-    parts = table(spark, sf_dir, "customer").select("c_custkey", N.double_parts("c_acctbal").alias("p"))
-    return parts.select("c_custkey", N.from_parts(F.col("p")).alias("value"), (F.col("p.sign") == 1).alias("negative"), F.when(F.col("p.exponent") > 0, F.col("p.exponent") - 1023).alias("power"))
+    parts = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal").isNotNull(), N.double_parts("c_acctbal")).alias("p"))
+    return parts.select("c_custkey", N.from_parts(F.col("p")).alias("value"), N.is_negative(F.col("p")).alias("negative"), N.power_of(F.col("p")).alias("power"))
 
 
 @query("numeric_limits", "SELECT * FROM (VALUES ('char', 1, -128::bigint, 127::bigint, '255'), ('short', 2, -32768, 32767, '65535'), ('int', 4, -2147483648, 2147483647, '4294967295'), ('long', 8, (-9223372036854775807 - 1)::bigint, 9223372036854775807, '18446744073709551615')) t(name, bytes, least, most, most_unsigned)")

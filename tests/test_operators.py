@@ -206,6 +206,20 @@ def test_numbers(spark):
     assert (got[-33].h, got[-33].b, got[-33].n, got[-33].s) == ("FFDF", "1111111111011111", 65503, -33)
 
 
+def test_double_views_of_odd_values(spark, tmp_path):
+    import duckdb
+
+    from quarry.plans.all_queries import ORACLES, QUERIES
+
+    values = [0.0, -0.0, None, 1.5, -2.0, 5e-324, -1e-310, 2.225073858507201e-308, 1.7976931348623157e308, math.nextafter(8.0, 0.0), math.nextafter(4.0, 0.0), 8.0]
+    spark.createDataFrame(list(enumerate(values)), "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = {k: (repr(v), n, p) for k, v, n, p in con.execute(ORACLES["double_views"]).fetchall()}
+    got = {r.c_custkey: (repr(r.value), r.negative, r.power) for r in QUERIES["double_views"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_scalar_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("x")).first().x
