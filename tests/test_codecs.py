@@ -1,6 +1,7 @@
 """Codecs: fixed vectors, and every codec gives back what it was given."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 
 from quarry.functions.codecs import CODES, canonical, compress, decompress, escape_byte, model_of
 from quarry.functions.codecs import arithmetic, lz, prefix, runs
+from quarry.functions.codecs.base import compress_all, decompress_all
 
 
 def counts(data):
@@ -140,3 +142,17 @@ def test_prefix_codes_of_many_sizes(n):
             assert prefix.decode(packed, codes, n) == data == prefix.decode_by_bits(packed, codes, n)
             with pytest.raises(ValueError):
                 prefix.decode(packed[: len(packed) // 2], codes, n)
+
+
+def test_arithmetic_of_many_files():
+    """Bytes of the plain coder, from files of all lengths in one array, each with its own model or all with one."""
+    rng = random.Random(5)
+    files = [b"", b"x", b"\0" * 3000, bytes(range(256)), rng.randbytes(5000)]
+    files += [bytes(rng.choices(range(k), [2 ** min(k, 12), *[1] * (k - 1)], k=rng.randrange(1200))) for k in (1, 2, 7, 256) for _ in range(25)]
+    every = arithmetic.model([2**29, *[1] * 200, *[2**27] * 55])
+    for some in (files, files[:5], files[1:2], []):
+        for models in ([arithmetic.model(counts(d)) for d in some], [every] * len(some)):
+            packed = arithmetic.encode_many(some, models)
+            assert packed == [arithmetic.encode(d, m) for d, m in zip(some, models)]
+            assert arithmetic.decode_many(packed, models, list(map(len, some))) == some
+    assert len(arithmetic.decode_many([b"\xff" * 9], [every], [40])[0]) == 40  # damaged, but of the size asked for
