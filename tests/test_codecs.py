@@ -156,3 +156,14 @@ def test_arithmetic_of_many_files():
             assert packed == [arithmetic.encode(d, m) for d, m in zip(some, models)]
             assert arithmetic.decode_many(packed, models, list(map(len, some))) == some
     assert len(arithmetic.decode_many([b"\xff" * 9], [every], [40])[0]) == 40  # damaged, but of the size asked for
+
+
+def test_arithmetic_is_coded_at_once():
+    """Half a million bytes in texts of several sizes, which bit by bit take some three seconds."""
+    rng = random.Random(6)
+    files = [bytes(rng.choices(b"etaoin shrdlu\n", k=n)) for n in (60, 500, 1500, 4000) for _ in range(80)]
+    begun = time.process_time()
+    made = compress_all(files, ["arithmetic"] * len(files), ["rle"] * len(files))
+    assert decompress_all([d for d, _ in made], [s for _, s in made]) == files
+    assert time.process_time() - begun < 1.5
+    assert made[:3] == [compress(d, "arithmetic", "rle") for d in files[:3]]
