@@ -10,13 +10,11 @@ import itertools
 import re
 
 LEAST_RUN, MOST_RUN, MOST_ESCAPES = 4, 258, 256
-_RUN = re.compile(rb"(.)\1*", re.S)
 
 
 def encode(data: bytes, escape: int) -> bytes:
-    out = bytearray()
-    for run in _RUN.finditer(data):
-        byte, left = run[1][0], run.end() - run.start()
+    def packed(run: re.Match) -> bytes:
+        byte, left, out = run[0][0], run.end() - run.start(), bytearray()
         most = MOST_ESCAPES if byte == escape else MOST_RUN
         for size in itertools.chain(itertools.repeat(most, left // most), [left % most]):
             if byte == escape:
@@ -25,7 +23,10 @@ def encode(data: bytes, escape: int) -> bytes:
                 out += bytes((escape, size - 3, byte))
             else:
                 out += bytes((byte,)) * size
-    return bytes(out)
+        return bytes(out)
+
+    # all else stands for itself
+    return re.sub(rb"%s+|(.)\1{%d,}" % (re.escape(bytes((escape,))), LEAST_RUN - 1), packed, data, flags=re.S)
 
 
 def decode(data: bytes, escape: int) -> bytes:

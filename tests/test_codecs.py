@@ -167,3 +167,12 @@ def test_arithmetic_is_coded_at_once():
     assert decompress_all([d for d, _ in made], [s for _, s in made]) == files
     assert time.process_time() - begun < 1.5
     assert made[:3] == [compress(d, "arithmetic", "rle") for d in files[:3]]
+
+
+def test_runs_are_found_at_once():
+    """A million bytes almost without runs, which one by one take some 1.1 s."""
+    data = random.Random(7).randbytes(1_000_000) + b"\1\1\1" + b"a" * 700 + b"\\" * 9
+    begun = time.process_time()
+    packed = [runs.encode(data, escape) for escape in (1, ord("\\"))]
+    assert time.process_time() - begun < 0.8
+    assert [runs.decode(p, escape) for p, escape in zip(packed, (1, ord("\\")), strict=True)] == [data, data]
