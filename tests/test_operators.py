@@ -43,6 +43,12 @@ def test_strategies_are_taken(sides):
     assert "SortMergeJoin" in plan("merge") and "ShuffledHashJoin" in plan("hash")
 
 
+def test_bucket_join_keeps_all_cores_busy(spark):
+    from quarry.plans.all_queries import QUERIES
+
+    assert QUERIES["bucket_join"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_product_does_not_wrap(spark):
     a = spark.createDataFrame([("k", 2**31 - 1, "d")], "KeyField string, Value1 int, Description string")
     b = spark.createDataFrame([("k", 2**31 - 1, "s")], "KeyField string, Value3 int, Status string")
