@@ -49,6 +49,16 @@ def test_bucket_join_keeps_all_cores_busy(spark):
     assert QUERIES["bucket_join"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_bucket_join_sql_sorts_no_pairs(spark):
+    from quarry.plans.all_queries import QUERIES
+
+    df = QUERIES["bucket_join_sql"](spark, "/root/testdata/sf0.001")
+    keys = [r.KeyField for r in df.collect()]
+    assert keys == sorted(keys) and len(keys) == 62
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Sort " not in plan.split("Join ")[0]  # nothing above the join
+
+
 def test_product_does_not_wrap(spark):
     a = spark.createDataFrame([("k", 2**31 - 1, "d")], "KeyField string, Value1 int, Description string")
     b = spark.createDataFrame([("k", 2**31 - 1, "s")], "KeyField string, Value3 int, Status string")
