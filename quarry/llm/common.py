@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,6 +33,12 @@ def removed(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles of plans that nothing names any more, which it does after a garbage collection of the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in parts of a few rows, so that what is made of texts at once stays small."""
     for batch in batches:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import aside, documents, durable, parts, spread_join
+from .common import aside, documents, durable, parts, spread_join, swept
 from .shingles import mixed, set_id, sets_of
 
 #: Sets in which a shingle of each class occurs at least, and bits of the class's filter.
@@ -245,7 +245,9 @@ def named(pairs: DataFrame, a: str = "set_id_a", b: str = "set_id_b") -> DataFra
 
 def classes(docs: DataFrame, n_shingles: int) -> DataFrame:
     """The classes that may link, as ``indexed`` gives them."""
-    return durable(indexed(docs, min(16, max(6, (n_shingles // A_BUCKET).bit_length()))).dropDuplicates(["set_id"]))
+    found = durable(indexed(docs, min(16, max(6, (n_shingles // A_BUCKET).bit_length()))).dropDuplicates(["set_id"]))
+    swept(docs.sparkSession)  # the packed shingles, and the sets that went to their classes
+    return found
 
 
 def links(docs: DataFrame, n_shingles: int) -> DataFrame:
@@ -257,6 +259,7 @@ def links(docs: DataFrame, n_shingles: int) -> DataFrame:
     fits = (F.col("n") <= F.col("c.largest")) & (F.col("c.n") <= F.col("largest")) & (F.col("set_id") != F.col("c.set_id"))
     first = durable(verified(named(index.drop("common").join(centre, "token").filter(fits).select("set_id", F.col("c.set_id").alias("centre")), "set_id", "centre"), found))
     part = components(first)
+    swept(docs.sparkSession)
     placed = found.select("set_id", "n", "prefix", "bounds").join(part.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id")).drop("component")
     rows = exploded(durable(placed))
     # the largest component under each shingle that has several
@@ -264,7 +267,10 @@ def links(docs: DataFrame, n_shingles: int) -> DataFrame:
     marked = durable(rows.join(most, "token").withColumn("outside", F.col("part") != F.col("most")).drop("most"))
     outside, inside = marked.filter("outside"), marked.filter("not outside")
     crossing = paired(large(outside), small(marked)).filter("part_a <> part_b").unionByName(paired(large(inside), small(outside)))
-    return durable(first.union(verified(named(crossing), found)))
+    out = durable(first.union(verified(named(crossing), found)))
+    del found, index, centre, part, placed, rows, most, marked, outside, inside, crossing
+    swept(docs.sparkSession)
+    return out
 
 
 def all_links(docs: DataFrame, n_shingles: int) -> DataFrame:
@@ -315,6 +321,8 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
     stay = joined(docs).filter("n_shingles > 0").groupBy("component").agg(best.alias("x")).select(F.col("x.none").alias("_none"), F.coalesce(F.col("x.id").cast("string"), F.lit("")).alias("_id"), F.col("x.hash").alias("_hash"), F.lit(True).alias("_stay"))
+    stay = durable(stay)
+    swept(docs.sparkSession)  # before the texts are shuffled
     moved, back = aside(docs)
     of = lambda c: F.col(f"_d{docs.columns.index(c)}")
     keyed = moved.withColumns({"_none": of("doc_id").isNull(), "_id": F.coalesce(of("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64(of("text")), "_empty": F.coalesce(~of("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))})

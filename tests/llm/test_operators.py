@@ -914,3 +914,15 @@ def test_pipeline(spark, folder):
     kept = {r.doc_id for r in ngram_join.distinct_documents(quality_rules.keep(docs)).collect()}
     assert ids <= kept and 2 not in ids and 14 not in ids
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_jaccard_join_lets_shuffles_go(spark, monkeypatch):
+    """The shuffles of finished steps are given up on the way, and before the texts are shuffled."""
+    from quarry.llm import ngram_join
+
+    swept = []
+    monkeypatch.setattr(ngram_join, "swept", lambda s: swept.append(1))
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "a"), (2, text + " end", "a"), (3, " ".join(f"v{k}" for k in range(60)), "b")], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in ngram_join.distinct_documents(docs).collect()) == [1, 3]
+    assert len(swept) >= 4
