@@ -94,8 +94,8 @@ def model_of(name: str, data: bytes | None = None, counts: list[int] | None = No
     return codec(name).model(counts) if any(counts) or name not in ("huffman", "shannon") else b""
 
 
-#: Bytes of files that are coded together; a larger file is coded alone.
-AT_ONCE = 16 << 20
+#: Bytes of files that are coded together; a larger file is coded alone. Number of files whose models are at hand together.
+AT_ONCE, MODELS = 16 << 20, 2048
 
 
 def grouped(sizes: list[int], most: int = AT_ONCE) -> Iterator[slice]:
@@ -110,11 +110,26 @@ def grouped(sizes: list[int], most: int = AT_ONCE) -> Iterator[slice]:
         yield slice(begin, len(sizes))
 
 
+#: Bytes of rows that are coded and decoded in one go: a go takes as many steps as its largest file has bytes.
+ROUND_TRIP = 2 * AT_ONCE
+
+
+def alike(sizes: list[int]) -> Iterator[list[int]]:
+    """Places of files of similar sizes, AT_ONCE bytes and MODELS files at most: the largest take as many steps as the largest of all."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    for g in grouped([sizes[i] for i in order]):
+        for k in range(g.start, g.stop, MODELS):
+            yield order[k : min(k + MODELS, g.stop)]
+
+
 def encode_all(name: str, files: list[bytes], models: list[bytes]) -> list[bytes | None]:
     """Each file encoded with its model; None for one that can't be."""
     of = codec(name)
     if of.encode_many:
-        return [out for g in grouped([len(d) for d in files]) for out in of.encode_many(files[g], models[g])]
+        made = {}
+        for some in alike([len(d) for d in files]):
+            made |= zip(some, of.encode_many([files[i] for i in some], [models[i] for i in some]), strict=True)
+        return [made[i] for i in range(len(files))]
     out: list[bytes | None] = []
     for data, model in zip(files, models, strict=True):
         try:
@@ -127,7 +142,10 @@ def encode_all(name: str, files: list[bytes], models: list[bytes]) -> list[bytes
 def decode_all(name: str, files: list[bytes], models: list[bytes], sizes: list[int]) -> list[bytes]:
     of = codec(name)
     if of.decode_many:
-        return [out for g in grouped(sizes) for out in of.decode_many(files[g], models[g], sizes[g])]
+        made = {}
+        for some in alike(sizes):
+            made |= zip(some, of.decode_many([files[i] for i in some], [models[i] for i in some], [sizes[i] for i in some]), strict=True)
+        return [made[i] for i in range(len(files))]
     return [of.decode(*x) for x in zip(files, models, sizes, strict=True)]
 
 
@@ -180,13 +198,13 @@ STAGES = pa.list_(pa.struct([("codec", pa.string()), ("model", pa.binary()), ("s
 STAGES_DDL = "array<struct<codec: string, model: binary, size: bigint>>"
 
 
-def _mapped(df: DataFrame, content: str, schema: str, rows: Callable[[list[dict]], list[dict]], types: dict[str, pa.DataType]) -> DataFrame:
-    """``df`` with columns that rows() makes of some rows, AT_ONCE bytes of the content in memory at a time."""
+def _mapped(df: DataFrame, content: str, schema: str, rows: Callable[[list[dict]], list[dict]], types: dict[str, pa.DataType], most: int = AT_ONCE) -> DataFrame:
+    """``df`` with columns that rows() makes of some rows, ``most`` bytes of the content in memory at a time."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g in grouped(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(content))), 0).to_pylist()):
+            for g in grouped(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(content))), 0).to_pylist(), most):
                 part = batch.slice(g.start, g.stop - g.start)
                 made = rows(part.to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([m[c] for m in made], t) for c, t in types.items()]], names=[*names, *types])
@@ -199,13 +217,18 @@ def as_bytes(x) -> bytes | None:
     return x.encode() if isinstance(x, str) else x
 
 
+def _compressed(part: list[dict], content: str, primary: str, secondary: str, model: bytes | None) -> Iterator[tuple[bytes, Stages]]:
+    """``compress`` of the rows whose content is not null."""
+    pick = lambda spec, r: r[spec[7:]] if spec.startswith("column:") else spec
+    there = [r for r in part if r[content] is not None]
+    return iter(compress_all([as_bytes(r[content]) for r in there], [pick(primary, r) for r in there], [pick(secondary, r) for r in there], model))
+
+
 def encode_column(df: DataFrame, content: str, primary: str, secondary: str = "none", model: bytes | None = None) -> DataFrame:
     """``df`` with ``encoded`` and ``stages``. ``primary`` and ``secondary`` name codecs or, after ``column:``, columns of names."""
-    pick = lambda spec, r: r[spec[7:]] if spec.startswith("column:") else spec
 
     def rows(part: list[dict]) -> list[dict]:
-        there = [r for r in part if r[content] is not None]
-        made = iter(compress_all([as_bytes(r[content]) for r in there], [pick(primary, r) for r in there], [pick(secondary, r) for r in there], model))
+        made = _compressed(part, content, primary, secondary, model)
         out = []
         for r in part:
             encoded, stages = next(made) if r[content] is not None else (None, None)
@@ -215,6 +238,18 @@ def encode_column(df: DataFrame, content: str, primary: str, secondary: str = "n
     return _mapped(df, content, f"encoded binary, stages {STAGES_DDL}", rows, {"encoded": pa.binary(), "stages": STAGES})
 
 
+def round_trip_column(df: DataFrame, content: str, primary: str, secondary: str = "none", model: bytes | None = None) -> DataFrame:
+    """``df`` with ``encoded`` and ``decoded`` as ``decode_column`` of ``encode_column`` has them, by one worker that keeps the models."""
+
+    def rows(part: list[dict]) -> list[dict]:
+        made = list(_compressed(part, content, primary, secondary, model))
+        files = [out for out, _ in made]
+        decoded = iter(zip(files, decompress_all(files, [stages for _, stages in made]), strict=True))
+        return [dict(zip(("encoded", "decoded"), next(decoded) if r[content] is not None else (None, None), strict=True)) for r in part]
+
+    return _mapped(df, content, "encoded binary, decoded binary", rows, {"encoded": pa.binary(), "decoded": pa.binary()}, ROUND_TRIP)
+
+
 def decode_column(df: DataFrame) -> DataFrame:
     """``df`` with ``decoded`` from ``encoded`` and ``stages``."""
 

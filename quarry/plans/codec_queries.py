@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytes as B
-from ..functions.codecs import decode_column, encode_column, prefix
+from ..functions.codecs import decode_column, encode_column, prefix, round_trip_column
 from ..session import checkpoint_dir
 from ..sources import archive
 from ..sources.tables import spread, table
@@ -26,7 +26,7 @@ def shared(spark: SparkSession) -> str:
 
 def round_trip(name: str, secondary: str = "none"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = decode_column(encode_column(contents(spark, sf_dir), "content", name, secondary))
+        out = round_trip_column(contents(spark, sf_dir), "content", name, secondary)
         n, k = F.octet_length("content").cast("long"), F.octet_length("encoded").cast("long")
         return out.select("doc_id", n.alias("original"), k.alias("encoded"), F.round(B.compression_ratio(n, k), 4).alias("saved_percent"), (F.col("decoded") == F.col("content")).alias("same"))
 
