@@ -11,12 +11,16 @@ from ..functions import bytes as B
 from ..functions.codecs import decode_column, encode_column, prefix, round_trip_column
 from ..session import checkpoint_dir
 from ..sources import archive
-from ..sources.tables import spread, table
+from ..sources.tables import even, spread, table
 from .registry import query
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+
+
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content")))
+    return spread(texts(spark, sf_dir))
 
 
 def shared(spark: SparkSession) -> str:
@@ -26,7 +30,7 @@ def shared(spark: SparkSession) -> str:
 
 def round_trip(name: str, secondary: str = "none"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = round_trip_column(contents(spark, sf_dir), "content", name, secondary)
+        out = round_trip_column(even(texts(spark, sf_dir), "doc_id"), "content", name, secondary)
         n, k = F.octet_length("content").cast("long"), F.octet_length("encoded").cast("long")
         return out.select("doc_id", n.alias("original"), k.alias("encoded"), F.round(B.compression_ratio(n, k), 4).alias("saved_percent"), (F.col("decoded") == F.col("content")).alias("same"))
 

@@ -252,3 +252,29 @@ def test_round_trip_in_one_worker(spark):
         assert [r.decoded for r in both] == [r.content for r in both]
     plan = QUERIES["codec_arithmetic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_rows_of_one_row_group_are_coded_by_all_cores(spark, tmp_path):
+    """A file cut into many parts by bytes, of which one had all rows; rows that lie evenly stay where they are."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from quarry.plans.all_queries import QUERIES
+    from quarry.sources.tables import even
+
+    rng = random.Random(11)
+    texts = [None if k == 7 else "".join(rng.choices("etaoin shrdlu", k=60)) for k in range(6000)]
+    pq.write_table(pa.table({"doc_id": range(6000), "text": texts}), tmp_path / "documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        out = QUERIES["codec_arithmetic"](spark, str(tmp_path))
+        rows = out.select("doc_id", "original", "same", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    parts = [sum(r.part == p for r in rows) for p in {r.part for r in rows}]
+    assert len(parts) >= spark.sparkContext.defaultParallelism and max(parts) < 2000
+    assert sorted((r.doc_id, r.original, r.same) for r in rows) == [(k, *((None, None) if t is None else (60, True))) for k, t in enumerate(texts)]
+    assert even(spark.range(0, 6000, 1, 9), "id").rdd.getNumPartitions() == 9
+    assert even(spark.range(0), "id").count() == 0
